@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontamination, language, licenses, packing, pii, quality, scoring, token_counts, toxicity
+from trialweave.llm import decontamination, language, licenses, near_duplicates, packing, pii, quality, scoring, token_counts, toxicity
 from trialweave.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_decontamination, op2_quality_rules, op3_license_scan, op4_language_id, op6_packing, op7_toxicity,
+        op1_decontamination, op2_quality_rules, op3_license_scan, op4_language_id, op5_near_duplicates, op6_packing, op7_toxicity,
         op8_lm_scores, op9_personal_data, op10_token_counts,
     )}
 
@@ -89,5 +93,27 @@ FROM d LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
 
+_OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[p:p + least(3, len(w)) - 1], ' ') AS g
+  FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(p) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+i AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (
+  SELECT a, b FROM i JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (
+  SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+c AS (SELECT reach.a AS r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": _OP1}
+    return {"op1_decontamination": _OP1, "op5_near_duplicates": _OP5}
