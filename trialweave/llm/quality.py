@@ -216,3 +216,24 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
     doc_id stays null. Without usable labels the base rule decides alone. Other columns are ignored.
     """
     return judged(docs, learn_rules(docs, labels, rows)).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The documents that are kept, whole rows in their own columns, judged as they stream by: no join, no shuffle.
+
+    The rules' conditions are those of `rejected`, evaluated on each batch; null texts fail the base rule.
+    """
+    names = docs.columns
+    inner = docs.select(*[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)], F.col("text").cast("binary").alias("text"))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches):
+            rows = [text_statistics(t) for t in common.texts(batch)]
+            x = {n: np.array([r[j] for r in rows], float) for j, n in enumerate((*COUNTS, *RATIOS))}
+            fails = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
+            for rule in rules:
+                fails |= rule.covers(x)
+            yield batch.drop_columns(["text"]).filter(pa.array(~fails))
+
+    out = inner.mapInArrow(make, inner.drop("text").schema)
+    return out.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
