@@ -143,3 +143,13 @@ def test_pre_tokens_never_change_a_count():
     for _ in range(500):
         text = "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "12", "'s", " ", "<|endoftext|>", "."]) for _ in range(rng.randrange(12)))
         assert lengths.of(text) == lengths.count(text), repr(text)
+
+
+def test_word_ids_equal_the_library():
+    words = packing.WordIds(P.path("word_bpe_49k.json"))
+    rng = random.Random(6)
+    bits = ["a", "Bc", " ", "  ", "\n", "\t", "\u00e9", "\u00c9", "e\u0301", "12", "'s", "'", "\u00a0", "<|endoftext|>", ".", "!!", "\u00df", "\u0130", "\x1d", "%%%"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(800)]
+    for at in range(0, 800, 50):
+        some = texts[at : at + 50]
+        assert words.of_all([t.encode() for t in some]) == [words.encoded(t) for t in some]

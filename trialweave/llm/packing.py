@@ -21,7 +21,7 @@ from trialweave.llm import common, token_counts
 CAPACITY = 2048
 END_ID = 1
 GROUP_ROWS = 50_000  # pieces ranked together in one group; a common length is split over many groups
-CACHED = 300_000
+CACHED = 700_000  # words that a worker keeps
 PLAN_ROWS = 200_000  # plan rows up to which the plan is broadcast
 
 _workers: dict = {}
@@ -30,25 +30,64 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class WordIds(dict):
-    """A white-space separated word to its ids as little-endian 32-bit numbers."""
+    """A white-space separated word, A-Z lower-cased, to its ids as little-endian 32-bit numbers.
+
+    The tokenizer lower-cases, drops white space, never joins across it and cuts between letters and punctuation, so
+    words are encoded apart, without the punctuation at their ends, and many at a time.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = token_counts.load(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # does the id end a word?
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
 
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED:
-            self.clear()
-        ids = self[word] = self.encoded(word)
+        core = word.rstrip(_PUNCTUATION)
+        if core and core != word and core[-1].lower()[-1].isalpha():
+            ids = self[core] + self[word[len(core) :]]
+        else:
+            ids = self.encoded(word)
+        self[word] = ids
         return ids
 
-    def of(self, text: str) -> bytes:
-        """Ids of a whole text. The tokenizer drops white space and never joins across it, but these four are none to it."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encoded(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: set[str]) -> None:
+        """Encodes words of letters together: each ends with an id that ends a word."""
+        if len(self) + len(words) > CACHED:
+            self.clear()
+        cores = sorted({c for c in (w.rstrip(_PUNCTUATION) for w in words) if c.isalpha() and c not in self})
+        for at in range(0, len(cores), 200):
+            some = cores[at : at + 200]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.update((w, raw[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+
+    def of_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of whole texts. What could be a special token, or white space to Python alone, is encoded as it stands."""
+        plain = [None if b"<|" in t or any(c in t for c in _SEPARATORS) else t.lower().decode("utf-8", "replace").split() for t in texts]
+        found = [None if w is None else list(map(self.get, w)) for w in plain]
+        missing: set[str] = set()
+        for w, got in zip(plain, found, strict=True):
+            if w is not None and None in got:
+                missing.update(x for x, ids in zip(w, got, strict=True) if ids is None)
+        if missing:
+            self.learn(missing)
+        out = []
+        for text, w, got in zip(texts, plain, found, strict=True):
+            if w is None:
+                out.append(self.encoded(text.decode("utf-8", "replace")))
+            else:
+                out.append(b"".join(map(self.__getitem__, w) if None in got else got))
+        return out
+
+
+_PUNCTUATION = ".,;:!?)]}*#$%&\""
+_SEPARATORS = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -59,10 +98,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         words = _workers.get(tokenizer_path)
         if words is None:
             words = _workers[tokenizer_path] = WordIds(tokenizer_path)
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, 256):
             rows: list[tuple] = []
-            for doc_id, raw in zip(common.column(batch, "doc_id"), common.texts(batch), strict=True):
-                ids = words.of(raw.decode("utf-8", "replace")) + end
+            for doc_id, ids in zip(common.column(batch, "doc_id"), words.of_all(common.texts(batch)), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, capacity):
                     part = ids[4 * at : 4 * (at + capacity)]
