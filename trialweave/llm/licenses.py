@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,12 +99,13 @@ def signatures() -> list[Signature]:
     """All rules in order: the base phrases first of all, then form by form and family by family."""
     out = [Signature(label, -1, 1.0, (phrase,), re.compile(rb"(?<= )" + phrase + rb"(?= )")) for phrase, label in BASE]
     word = lambda x: re.compile(rf"(?<= )(?:{x})(?= )".encode())
-    for priority, confidence, form, keyword in FORMS:
-        for label, family, name, short in FAMILIES:
-            by_id = re.match(r"[a-z0-9]+(?: [a-z]+)*", short)[0].encode()
-            for key, called in ((by_id, short),) if "{id}" in form else ((family, name), (by_id, short)):
-                pattern = form.format(name=f"(?:{called})", id=f"(?:{called})")
-                out.append(Signature(label, priority, confidence, (keyword, key), word(pattern)))
+    for (priority, confidence, form, keyword), (label, family, name, short) in product(FORMS, FAMILIES):
+        by_id = re.match(r"[a-z0-9]+(?: [a-z]+)*", short)[0].encode()
+        for key, called in ((by_id, short),) if "{id}" in form else ((family, name), (by_id, short)):
+            # a name that ends in "license" needs no such word behind it
+            bare = priority == FORMS[-1][0] and "licen" in called
+            pattern = ("{name}" if bare else form).format(name=f"(?:{called})", id=f"(?:{called})")
+            out.append(Signature(label, priority, confidence, (keyword, key), word(pattern)))
     out += [Signature(label, p, c, (k,), word(x)) for p, c, x, k, label in GENERAL]
     return sorted(out, key=lambda s: s.priority)
 
