@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+HERE = Path(__file__).resolve().parent
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")])
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
