@@ -145,3 +145,25 @@ def test_treatment_codes_raise_on_strangers(spark):
     assert [r.treatment_discretized for r in D.treatment_codes(df, "treatment", ["A", "B"]).collect()] == [0, 1]
     with pytest.raises(Exception, match="no such arm"):
         D.treatment_codes(df, "treatment", ["A"]).collect()
+
+
+@pytest.mark.parametrize("method", ["ipw", "oi"])
+def test_sums_of_cells_equal_individual_responses(spark, method):
+    df = confounded(spark, 400, 6).withColumn("probs", F.array(0.2 + F.col("x") / 10, 0.3 - F.col("y") / 10, F.rand(1) / 5, F.rand(2) / 5) if method == "ipw" else F.array(1 - F.col("y"), F.col("y")))
+    df = df.withColumn("w", F.rand(3))
+    if method == "ipw":
+        a = E.ipw_potential_outcomes(df, ["trial"], ["x"], "probs", 2, F.col("w"))
+        b = E.potential_outcomes(E.ipw_responses(df, ["trial"], ["x"], "probs", 2), ["trial"], 2, F.col("w"))
+    else:
+        a = E.oi_potential_outcomes(df, ["trial"], ["x"], "t", "probs", 2, F.col("w"))
+        b = E.potential_outcomes(E.oi_responses(df, ["trial"], ["x"], "t", "probs", 2), ["trial"], 2, F.col("w"))
+    assert values(a) == pytest.approx(values(b))
+
+
+@pytest.mark.parametrize("most", [10**6, 40, 3])
+def test_exact_median(spark, most):
+    rng = np.random.default_rng(5)
+    for x in (rng.random(401), rng.random(400), np.round(rng.random(300), 1), np.zeros(50), np.array([3.0]), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(str(v),) for v in x] + [("no number",), (None,)], "v string")
+        assert D.exact_median(df, "v", most) == pytest.approx(np.median(x))
+    assert D.exact_median(spark.createDataFrame([("x",)], "v string"), "v") is None

@@ -22,11 +22,42 @@ def numeric_share(value: str) -> Column:
     return F.count(F.col(value).try_cast("double")) / F.count(F.lit(1))
 
 
+def exact_median(df: DataFrame, value: str, most: int = 1_000_000) -> float | None:
+    """The median of a column's numbers, the mean of the two middle ones; None without numbers.
+
+    Quantile sketches narrow the range around the middle until at most `most` rows are left, on which it is exact. No
+    task ever holds more than those.
+    """
+    v = F.col("v")
+    data = df.select(F.col(value).try_cast("double").alias("v")).where(v.isNotNull() & ~F.isnan(v))
+    n = data.count()
+    if not n:
+        return None
+    first, last = (n - 1) // 2, n // 2
+    below, inside = 0, n
+    while inside > most:
+        around = [max(0.0, (first - below) / inside - 0.002), min(1.0, (last - below) / inside + 0.002)]
+        low, high = data.agg(F.percentile_approx(v, around, 10_000)).first()[0]
+        if low == high:
+            return low
+        under, within = data.agg(F.count_if(v < low), F.count_if(v.between(low, high))).first()
+        if not below + under <= first <= last < below + under + within or within == inside:
+            break  # so many equal values that sketches cannot part them: counts by value can
+        data, below, inside = data.where(v.between(low, high)), below + under, within
+    if inside > most:
+        data = data.groupBy("v").count()
+        total = F.sum("count").over(Window.orderBy("v"))
+        hit = data.withColumn("t", total + below).where(F.col("t") > first).orderBy("v").limit(2).collect()
+        return hit[0].v if hit[0].t > last else (hit[0].v + hit[1].v) / 2
+    share = ((first + last) / 2 - below) / max(inside - 1, 1)
+    return data.agg(F.percentile("v", F.lit(share))).first()[0]
+
+
 def median_codes(df: DataFrame, value: str) -> DataFrame:
-    """df with `code`: 1 above the exact median of its numbers, else 0; text without a number is 0."""
-    median = df.agg(F.percentile(F.col(value).try_cast("double"), F.lit(0.5)).alias("_median"))
+    """df with `code`, 1 above the exact median of its numbers and else 0 (text without a number too), and `median`."""
+    median = exact_median(df, value)
     v = F.col(value).try_cast("double")
-    return df.crossJoin(F.broadcast(median)).withColumn("code", F.coalesce((v > F.col("_median")).cast("int"), F.lit(0))).withColumnRenamed("_median", "median")
+    return df.withColumn("code", F.coalesce((v > F.lit(median)).cast("int"), F.lit(0))).withColumn("median", F.lit(median).cast("double"))
 
 
 def head_categories(df: DataFrame, value: str, order: str) -> DataFrame:

@@ -68,6 +68,33 @@ def potential_outcomes(df: DataFrame, keys: Sequence[str], arms: int, weight: Co
     return wide.select(*keys, F.posexplode(F.array(*[f"_a{t}" for t in range(arms)])).alias("arm", "apo"))
 
 
+def _by_trial(cells: DataFrame, keys: Sequence[str], values: list[Column]) -> DataFrame:
+    wide = cells.groupBy(*keys).agg(*[v.alias(f"_a{t}") for t, v in enumerate(values)])
+    return wide.select(*keys, F.posexplode(F.array(*[f"_a{t}" for t in range(len(values))])).alias("arm", "apo"))
+
+
+def ipw_potential_outcomes(df: DataFrame, keys: Sequence[str], covs: Sequence[str], probs: str, arms: int, weight: Column | None = None) -> DataFrame:
+    """Keys, arm and apo, as from `ipw_responses` and `potential_outcomes`, but from sums of the cells alone.
+
+    One pass over the rows and one shuffle of partial sums for each cell: no row is joined back to its cell.
+    """
+    w, p = F.lit(1.0) if weight is None else weight.cast("double"), F.col(probs)
+    cells = df.groupBy(*keys, *covs).agg(
+        *[F.avg(p[2 * t] + p[2 * t + 1]).alias(f"q{t}") for t in range(arms)], *[F.sum(w * p[2 * t + 1]).alias(f"s{t}") for t in range(arms)], F.sum(w).alias("w")
+    )
+    total = F.nullif(F.sum("w"), F.lit(0.0))
+    return _by_trial(cells, keys, [F.sum(F.when(F.col(f"q{t}") > 0, F.col(f"s{t}") / F.col(f"q{t}")).otherwise(0.0)) / total for t in range(arms)])
+
+
+def oi_potential_outcomes(df: DataFrame, keys: Sequence[str], covs: Sequence[str], t: str, probs: str, arms: int, weight: Column | None = None) -> DataFrame:
+    """Keys, arm and apo, as from `oi_responses` and `potential_outcomes`, from sums of the cells alone."""
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    value = F.aggregate(F.transform(F.col(probs), lambda p, j: p * j), F.lit(0.0), lambda a, x: a + x)
+    cells = df.groupBy(*keys, *covs).agg(*[F.avg(F.when(F.col(t) == a, value)).alias(f"m{a}") for a in range(arms)], F.sum(w).alias("w"))
+    total = F.nullif(F.sum("w"), F.lit(0.0))
+    return _by_trial(cells, keys, [F.when(F.count_if(F.col(f"m{a}").isNull()) == 0, F.sum(F.col("w") * F.col(f"m{a}")) / total) for a in range(arms)])
+
+
 def treatment_effects(apo: DataFrame, keys: Sequence[str], arm: str = "arm", value: str = "apo") -> DataFrame:
     """Keys, arm_i, arm_j and ate = value_j - value_i for every i < j: arms of one trial are few, so they meet in an array."""
     arms = apo.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(arm).alias("k"), F.col(value).alias("v")))).alias("_a"))

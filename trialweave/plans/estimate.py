@@ -39,7 +39,12 @@ def estimate(
     weights = "weights" if method == "mc_ipw" else None
 
     def point(data: DataFrame, by: list[str], weight: Column | None) -> DataFrame:
-        apo = E.potential_outcomes(responses(data, method, by, covs, t, y, arms), by, arms, weight, weights=weights)
+        if method == "ipw":
+            apo = E.ipw_potential_outcomes(data, by, covs, "probs", arms, weight)
+        elif method == "oi":
+            apo = E.oi_potential_outcomes(data, by, covs, t, "probs", arms, weight)
+        else:
+            apo = E.potential_outcomes(responses(data, method, by, covs, t, y, arms), by, arms, weight, weights=weights)
         return E.treatment_effects(apo, by).withColumnRenamed("ate", "apo") if effects else apo
 
     keys = list(keys)

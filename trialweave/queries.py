@@ -74,7 +74,9 @@ def with_probs(df: DataFrame) -> DataFrame:
 
 
 def ipw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.potential_outcomes(E.ipw_responses(with_probs(reports(spark, sf_dir)), KEYS, COVS, "probs", 3), KEYS, 3)
+    """Cells are a row each, so the second aggregate meets them where the first has left them."""
+    cells = E.cell_probabilities(reports(spark, sf_dir), KEYS, COVS, "t", "y", 3)
+    return E.ipw_potential_outcomes(cells, KEYS, COVS, "probs", 3, F.col("n"))
 
 
 @query(f"WITH {IPW_SQL} SELECT trial, arm, round(apo, 6) AS apo FROM apo")
@@ -87,6 +89,20 @@ def ipw_ate(spark, sf_dir):
     return E.treatment_effects(ipw(spark, sf_dir), KEYS).select("trial", "arm_i", "arm_j", r6(F.col("ate")).alias("ate"))
 
 
+@query(f"WITH {IPW_SQL} SELECT trial, arm, round(apo, 6) AS apo FROM apo")
+def ipw_individual_responses(spark, sf_dir):
+    """The same by way of each row's responses."""
+    apo = E.potential_outcomes(E.ipw_responses(with_probs(reports(spark, sf_dir)), KEYS, COVS, "probs", 3), KEYS, 3)
+    return apo.select("trial", "arm", r6(F.col("apo")).alias("apo"))
+
+
+@query(f"""WITH {R_SQL} SELECT trial, arm, CASE WHEN min(nt) > 0 THEN round(sum(n * nty / nt) / sum(n), 6) END AS apo FROM cells GROUP BY ALL""")
+def oi_individual_responses(spark, sf_dir):
+    df = reports(spark, sf_dir).withColumn("probs", F.array(1.0 - F.col("y"), F.col("y").cast("double")))
+    apo = E.potential_outcomes(E.oi_responses(df, KEYS, COVS, "t", "probs", 3), KEYS, 3)
+    return apo.select("trial", "arm", r6(F.col("apo")).alias("apo"))
+
+
 @query(f"WITH {R_SQL} SELECT trial, priority, large, arm, round(nt / n, 6) AS prop FROM cells")
 def propensity_cells(spark, sf_dir):
     cells = E.propensity(with_probs(reports(spark, sf_dir)), KEYS, COVS, "probs", 3)
@@ -96,7 +112,7 @@ def propensity_cells(spark, sf_dir):
 @query(f"""WITH {R_SQL} SELECT trial, arm, CASE WHEN min(nt) > 0 THEN round(sum(n * nty / nt) / sum(n), 6) END AS apo FROM cells GROUP BY ALL""")
 def oi_apo(spark, sf_dir):
     df = reports(spark, sf_dir).withColumn("probs", F.array(1.0 - F.col("y"), F.col("y").cast("double")))
-    apo = E.potential_outcomes(E.oi_responses(df, KEYS, COVS, "t", "probs", 3), KEYS, 3)
+    apo = E.oi_potential_outcomes(df, KEYS, COVS, "t", "probs", 3)
     return apo.select("trial", "arm", r6(F.col("apo")).alias("apo"))
 
 
