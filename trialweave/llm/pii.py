@@ -38,7 +38,7 @@ _NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 _SECRET_SEED = re.compile(rb"AKIA[0-9A-Z]{12,}|[0-9a-f]{40}|[0-9A-F]{40}|(?:sk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _KEY = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*[=:]")
-_STRIP = b"\"'`.,;:!?()[]{}<>"
+_STRIP = b"\"'`.,;:!?()[]{}<>#%*$&|"
 
 
 def emails(text: bytes) -> list[tuple[int, int]]:
@@ -144,7 +144,7 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...]
 
 
 def _clean(token: bytes) -> bytes:
-    return (token.strip(b"\"'`.,;!?()[]{}<>").lower() or token)[:32]
+    return (token.strip(b"\"'`.,;!?()[]{}<>#%*$&|").lower() or token)[:32]
 
 
 def _seed(a: int, b: int, core: bytes, spans: list[tuple[str, int, int]]) -> int:
