@@ -246,3 +246,11 @@ def test_upsert_and_first(spark):
     old = spark.createDataFrame([(1, "old")], "pmid long, v string")
     new = spark.createDataFrame([(1, "new"), (2, "b"), (2, "a")], "pmid long, v string")
     assert sorted(tuple(r) for r in relational.upsert(old, new, ["pmid"], ["v"]).collect()) == [(1, "old"), (2, "a")]
+
+
+@pytest.mark.parametrize("ratio", [0.0, 0.3, 0.5, 0.8, 1.0])
+def test_temporal_split_equals_sorting(spark, ratio):
+    rows = [(f"N{k:02d}", None if k % 7 == 0 else f"2020-01-0{k % 4 + 1}") for k in range(23)]
+    got = {r.nct_id: r.split for r in trials.temporal_split(spark.createDataFrame(rows, "nct_id string, date string"), "date", "nct_id", ratio).collect()}
+    first = [i for i, _ in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))][: int(23 * ratio)]
+    assert {i for i, s in got.items() if s == "train"} == set(first) and len(got) == 23

@@ -58,14 +58,25 @@ def matches_condition(terms: Column, conditions: Column) -> Column:
 
 
 def temporal_split(trials: DataFrame, date: str, key: str, ratio: float = 0.8) -> DataFrame:
-    """trials with `split`: the earliest share is train, the rest val; undated ones come last.
+    """trials with `split`: the earliest share is train, the rest val; undated ones come last, ties are broken by key.
 
-    The window runs over the trials of one study, at most a few hundred thousand narrow rows.
+    The date at the cut comes from counts by date, one narrow row for each; only trials of that very date are ranked.
     """
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(F.col(date).asc_nulls_last(), key))
-    keyed = trials.select(key, date).withColumn("split", F.when(rank <= F.floor(n * ratio), "train").otherwise("val"))
-    return trials.join(keyed.select(key, "split"), key)
+    order = [F.col(date).isNull(), F.col(date)]
+    counts = trials.groupBy(date).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(*order)))
+    total = trials.count()
+    k = int(total * ratio)
+    cut = upto.where(F.col("upto") >= k).orderBy(*order).first() if k else None
+    if cut is None:
+        return trials.withColumn("split", F.lit("val"))
+    at = F.col(date).eqNullSafe(F.lit(cut[date]))
+    before = F.col(date).isNotNull() & (F.lit(True) if cut[date] is None else F.col(date) < F.lit(cut[date]))
+    tied = trials.where(at).select(F.col(key).alias("_k"), (F.row_number().over(Window.orderBy(key)) <= k - (cut.upto - cut.n)).alias("_in"))
+    early = tied.where("_in").select("_k").distinct()
+    inside = trials.where(at).join(early, trials[key] == early["_k"], "left").withColumn("split", F.when(F.col("_k").isNotNull(), "train").otherwise("val"))
+    rest = trials.where(~at).withColumn("split", F.when(before, "train").otherwise("val"))
+    return rest.unionByName(inside.drop("_k"))
 
 
 def pairs(arms: DataFrame, keys: Sequence[str], order: str, name: str, value: str) -> DataFrame:
