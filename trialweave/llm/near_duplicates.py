@@ -5,7 +5,8 @@
    long one - into a parity bitmap; the population count of the XOR of two bitmaps tells how much two sets differ.
 2. Classes that share a band key meet in groups of bounded size; larger buckets meet as pairs of blocks. In a group, the
    sketches alone tell which pairs are surely similar, which may be and which are not. A spanning forest of the sure
-   pairs and the unsure pairs between its trees go on: enough for all components, far fewer than all pairs.
+   pairs and the unsure pairs between its trees, until these leave no doubt, go on: enough for all components, far
+   fewer than all pairs.
 3. These edges are confirmed on the full sets, components are found by contraction, and each gets its smallest doc_id.
 """
 
@@ -29,6 +30,7 @@ BITS = 1024  # of an odd sketch
 SAMPLE = 512  # hash values in a sketch, at most about
 BLOCK = 1024  # classes that meet in one group, of each of its two blocks
 CACHED = 500_000  # words whose hashes a worker keeps
+DOUBT = math.log(1e-6)  # log of the chance that trees whose unsure pairs count as enough are not linked after all
 BROADCAST_KEYS = 2_000_000  # keys of rows whose sets are needed, up to which they are broadcast
 
 _workers: dict = {}
@@ -157,10 +159,24 @@ def limits(total: np.ndarray, sampled: bool, percent: int) -> tuple[np.ndarray,
     return mean - np.maximum(6 * dev, 2.0), high + 1e-9
 
 
+def _doubt(z: np.ndarray, total: np.ndarray, sampled: bool, percent: int) -> np.ndarray:
+    """Log of the chance that a pair with this count is not similar. Each element that meets another's bit hides two.
+
+    Samples of one set err together, so a pair of sampled sets never counts for much.
+    """
+    if sampled:
+        return np.full(z.shape, -1.0, np.float32)
+    hidden = np.floor(((100 - percent) / (100 + percent) * total - z) / 2) + 1
+    rate = (z + 2 * hidden) ** 2 / (2 * BITS)
+    fact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, BITS)))))
+    log = hidden * np.log(np.maximum(rate, 1e-9)) - fact[np.clip(hidden, 0, BITS - 1).astype(int)]
+    return np.minimum(log, -0.2).astype(np.float32)
+
+
 def _classify(level: np.ndarray, s1: np.ndarray, s2: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrices of surely similar pairs and of pairs that may be similar. Sets whose levels differ by two never are."""
+    """Matrices of surely similar pairs and, below 0, of the doubt about pairs that may be similar. Sets whose levels differ by two never are."""
     n = len(level)
-    sure, maybe = np.zeros((n, n), bool), np.zeros((n, n), bool)
+    sure, doubt = np.zeros((n, n), bool), np.zeros((n, n), np.float32)
     for top in np.unique(level).tolist():
         rows = np.flatnonzero((level == top) | (level == top - 1))
         own = level[rows] == top
@@ -168,7 +184,7 @@ def _classify(level: np.ndarray, s1: np.ndarray, s2: np.ndarray, sketch: np.ndar
         total = np.where(own, s1[rows], s2[rows]).astype(float)
         total = total[:, None] + total[None, :]
         if len(rows) <= 32:
-            z = np.bitwise_count((bits[:, None, :] ^ bits[None, :, :]).view(np.uint64)).sum(2)
+            z = np.bitwise_count((bits[:, None, :] ^ bits[None, :, :]).view(np.uint64)).sum(2).astype(float)
         else:
             signs = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
             z = (BITS - signs @ signs.T) / 2
@@ -176,10 +192,11 @@ def _classify(level: np.ndarray, s1: np.ndarray, s2: np.ndarray, sketch: np.ndar
         both = own[:, None] | own[None, :]
         at = np.ix_(rows, rows)
         sure[at] |= (z <= lo) & both
-        maybe[at] |= (z > lo) & (z <= hi) & both
+        x, y = np.nonzero((z > lo) & (z <= hi) & both)
+        doubt[rows[x], rows[y]] = _doubt(z[x, y], total[x, y], top > 0, percent)
     np.fill_diagonal(sure, False)
-    np.fill_diagonal(maybe, False)
-    return sure, maybe
+    np.fill_diagonal(doubt, 0)
+    return sure, doubt
 
 
 def _trees(sure: np.ndarray, names: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -204,34 +221,59 @@ def _trees(sure: np.ndarray, names: list[bytes]) -> tuple[np.ndarray, list[tuple
     return of, edges
 
 
+class _Union:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = x = self.parent[self.parent[x]]
+        return x
+
+
+def _unsure(doubt: np.ndarray, of: np.ndarray, union: _Union, degree: np.ndarray) -> list[tuple[int, int]]:
+    """Unsure pairs between trees, least doubtful first, until the doubt about all pairs of two trees is below DOUBT.
+
+    Two trees that are linked that surely count as one from then on: pairs between them could tell nothing new.
+    """
+    root = np.array([union.find(x) for x in range(len(union.parent))])[of]
+    x, y = np.nonzero(np.triu(doubt < 0) & (root[:, None] != root[None, :]))
+    order = np.lexsort((-np.maximum(degree[x], degree[y]), doubt[x, y]))
+    left: dict[tuple[int, int], float] = {}
+    edges = []
+    for i, j, log in zip(x[order].tolist(), y[order].tolist(), doubt[x, y][order].tolist(), strict=True):
+        a, b = union.find(int(of[i])), union.find(int(of[j]))
+        if a == b:
+            continue
+        edges.append((i, j))
+        key = (min(a, b), max(a, b))
+        left[key] = left.get(key, 0.0) + log
+        if left[key] <= DOUBT:
+            union.parent[a] = b
+    return edges
+
+
 def group_edges(names: list[bytes], blocks: np.ndarray, level, s1, s2, sketch, percent: int) -> list[tuple[int, int]]:
     """Edges to confirm among classes that met: all of a block with itself, only those across of two blocks."""
     if len(names) < 2:
         return []
-    sure, maybe = _classify(level, s1, s2, sketch, percent)
+    sure, doubt = _classify(level, s1, s2, sketch, percent)
+    degree = sure.sum(1)
     if blocks.min() == blocks.max():
         of, edges = _trees(sure, names)
-        across = np.triu(maybe & (of[:, None] != of[None, :]))
-        return edges + [tuple(x) for x in np.argwhere(across).tolist()]
+        return edges + _unsure(doubt, of, _Union(int(of.max()) + 1), degree)
     other = blocks[:, None] != blocks[None, :]
     of, _ = _trees(sure & ~other, names)
-    edges, parent = [], list(range(int(of.max()) + 1))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    union, edges = _Union(int(of.max()) + 1), []
     pairs = np.argwhere(np.triu(sure & other & (of[:, None] != of[None, :])))
     if len(pairs):
         _, first = np.unique(of[pairs], axis=0, return_index=True)
         for i, j in pairs[np.sort(first)].tolist():
-            a, b = find(int(of[i])), find(int(of[j]))
+            a, b = union.find(int(of[i])), union.find(int(of[j]))
             if a != b:
-                parent[a] = b
+                union.parent[a] = b
                 edges.append((i, j))
-    tree = np.array([find(x) for x in range(len(parent))])[of]
-    return edges + [tuple(x) for x in np.argwhere(np.triu(maybe & other & (tree[:, None] != tree[None, :]))).tolist()]
+    return edges + _unsure(np.where(other, doubt, 0), of, union, degree)
 
 
 def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
