@@ -7,10 +7,12 @@ from statistics import NormalDist
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Formats of dates and parameters of outcomes as the sources write them.
 FORUM_FORMATS = (
     "MMMM dd, yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd",
 )
+COUNT_PARAMS = ("NUMBER", "COUNT_OF_PARTICIPANTS", "COUNT_OF_UNITS")
 
 
 def forum_time(value: Column) -> Column:
@@ -44,7 +46,7 @@ def is_finite(value: Column) -> Column:
 
 def normalized_outcome(value: Column, denominator: Column, unit: Column, param: Column) -> Column:
     """Percentages as shares, counts over their denominator, all else as it stands."""
-    counted = F.coalesce(param, F.lit("")).isin("NUMBER", "COUNT_OF_PARTICIPANTS", "COUNT_OF_UNITS")
+    counted = F.coalesce(param, F.lit("")).isin(*COUNT_PARAMS)
     percent = F.contains(F.lower(F.coalesce(unit, F.lit(""))), F.lit("percent"))
     return F.when(percent, value / 100).when(counted, F.try_divide(value, denominator)).otherwise(value)
 
@@ -52,7 +54,7 @@ def normalized_outcome(value: Column, denominator: Column, unit: Column, param:
 def is_binary_outcome(param: Column, title: Column) -> Column:
     from trialweave.functions.text import is_binary_endpoint
 
-    return F.coalesce(param.isin("NUMBER", "COUNT_OF_PARTICIPANTS", "COUNT_OF_UNITS"), is_binary_endpoint(title))
+    return F.coalesce(param.isin(*COUNT_PARAMS), is_binary_endpoint(title))
 
 
 def dispersion(kind: Column, spread: Column, lower: Column, upper: Column) -> Column:

@@ -19,7 +19,7 @@ AUTHOR_HEADER = "# All records of one pseudonymous author\n\nOnly what is marked
 def author_replies(posts: DataFrame, comments: DataFrame) -> DataFrame:
     """post_id, replies: what a post's author said below it, in order. Authors without a key never match."""
     own = comments.join(posts.select("post_id", "author_key"), ["post_id", "author_key"])
-    own = own.where(F.col("body").isNotNull() & ~F.col("body").isin("[deleted]", "[removed]"))
+    own = own.where(F.col("body").isNotNull() & ~F.col("body").isin(*T.GONE))
     ordered = F.array_sort(F.collect_list(F.struct("timestamp", "id", "body")))
     return own.groupBy("post_id").agg(F.transform(ordered, lambda x: x.body).alias("replies"))
 
