@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.operators import estimators, trials
+from trialweave.operators import trials
 from trialweave.operators.relational import keep_first
 
 
@@ -53,5 +53,3 @@ def counts(study: Study) -> DataFrame:
         F.count_distinct("nct_id").alias("trials"), F.count_distinct("arm").alias("arms"), F.count_distinct("outcome").alias("outcomes"), F.count("*").alias("labels")
     )
 
-
-__all__ = ["Study", "build", "counts", "estimators"]
