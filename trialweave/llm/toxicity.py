@@ -8,6 +8,7 @@ histogram-based boosted trees; pool-adjacent-violators on rows held back calibra
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from trialweave.llm import common
 
-SAMPLE_ROWS = 24_000  # labelled documents, at most, from which lexicon, trees and calibration are learned
+SAMPLE_ROWS = 16_000  # labelled documents, at most, from which lexicon, trees and calibration are learned
 LEXICON_WORDS = 400
 LEAST_DOCS = 4  # labelled toxic documents that a lexicon word is in, at least
 FOLDS, HELD_OUT = 5, 0
@@ -66,22 +67,30 @@ _SEED = frozenset(w.encode() for w in SEED)
 _YOU = frozenset(w.encode() for w in SECOND_PERSON)
 
 
-def learn_lexicon(word_docs: list[tuple[set[bytes], int]], most: int = LEXICON_WORDS, least: int = LEAST_DOCS) -> Lexicon:
-    """Words in at least `least` toxic documents whose share of toxic ones is far above the whole, by log odds."""
-    toxic = sum(y for _, y in word_docs)
-    clean = len(word_docs) - toxic
-    seen: dict[bytes, list[int]] = {}
-    for words, y in word_docs:
-        for w in words:
-            seen.setdefault(w, [0, 0])[y] += 1
+def learn_lexicon(rows: list[tuple[bytes, int]], most: int = LEXICON_WORDS, least: int = LEAST_DOCS) -> Lexicon:
+    """Words in at least `least` toxic texts whose share of toxic ones is far above the whole, by log odds.
+
+    The words of toxic texts are counted first, and clean texts for those of them alone that are frequent enough: what
+    the driver holds follows the vocabulary of the toxic part of the sample.
+    """
+    toxic = sum(y for _, y in rows)
+    clean = len(rows) - toxic
+    in_toxic: Counter = Counter()
+    for text, y in rows:
+        if y:
+            in_toxic.update(set(common.plain_words(text)))
+    in_clean = {w: 0 for w, t in in_toxic.items() if t >= least}
+    for text, y in rows:
+        if not y:
+            for w in in_clean.keys() & set(common.plain_words(text)):
+                in_clean[w] += 1
     weight = {}
-    for w, (c, t) in seen.items():
-        if t >= least:
-            odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
-            if odds > 1.5:
-                weight[w] = (float(odds), t)
-    best = sorted(weight, key=lambda w: (-weight[w][0] * np.sqrt(weight[w][1]), w))[:most]
-    return Lexicon({w: 1.0 for w in _SEED} | {w: weight[w][0] for w in best})
+    for w, c in in_clean.items():
+        odds = np.log((in_toxic[w] + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1))
+        if odds > 1.5:
+            weight[w] = float(odds)
+    best = sorted(weight, key=lambda w: (-weight[w] * np.sqrt(in_toxic[w]), w))[:most]
+    return Lexicon({w: 1.0 for w in _SEED} | {w: weight[w] for w in best})
 
 
 class Trees:
@@ -185,11 +194,11 @@ def fit(rows: list[tuple[bytes, int, int]]) -> Model:
         train = rows
     # the lexicon of one half gives the features that the trees see of the other half: its words never fit their own rows
     halves = [train[::2], train[1::2]]
-    split = [learn_lexicon([(set(common.plain_words(t)), y) for t, y, _ in h]) for h in halves]
+    split = [learn_lexicon([r[:2] for r in h]) for h in halves]
     x = [split[1 - k].features(t) for k, h in enumerate(halves) for t, _, _ in h]
     y = np.array([y for h in halves for _, y, _ in h], float)
     trees = Trees().fit(np.array(x, float), y)
-    lexicon = learn_lexicon([(set(common.plain_words(t)), y) for t, y, _ in train])
+    lexicon = learn_lexicon([r[:2] for r in train])
     held = [r for r in rows if r[2] == CALIBRATION_FOLD]
     if len({y for _, y, _ in held}) < 2:
         held = rows
