@@ -59,9 +59,10 @@ class WordIds(dict):
         if len(self) + len(words) > CACHED:
             self.clear()
         cores = sorted({c for c in (w.rstrip(_PUNCTUATION) for w in words) if c.isalpha() and c not in self})
-        for at in range(0, len(cores), 200):
-            some = cores[at : at + 200]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
+        parts = [cores[at : at + 100] for at in range(0, len(cores), 100)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for some, got in zip(parts, encoded, strict=True):
+            ids = np.array(got.ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
                 raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
@@ -71,18 +72,30 @@ class WordIds(dict):
         """Ids of whole texts. What could be a special token, or white space to Python alone, is encoded as it stands."""
         plain = [None if b"<|" in t or any(c in t for c in _SEPARATORS) else t.lower().decode("utf-8", "replace").split() for t in texts]
         found = [None if w is None else list(map(self.get, w)) for w in plain]
-        missing: set[str] = set()
-        for w, got in zip(plain, found, strict=True):
-            if w is not None and None in got:
-                missing.update(x for x, ids in zip(w, got, strict=True) if ids is None)
+        gaps = [[] if w is None else _gaps(got) for w, got in zip(plain, found, strict=True)]
+        missing = {w[k] for w, at in zip(plain, gaps, strict=True) for k in at}
         if missing:
             self.learn(missing)
         out = []
-        for text, w, got in zip(texts, plain, found, strict=True):
+        for text, w, got, at in zip(texts, plain, found, gaps, strict=True):
             if w is None:
                 out.append(self.encoded(text.decode("utf-8", "replace")))
-            else:
-                out.append(b"".join(map(self.__getitem__, w) if None in got else got))
+                continue
+            for k in at:
+                got[k] = self[w[k]]
+            out.append(b"".join(got))
+        return out
+
+
+def _gaps(items: list) -> list[int]:
+    """Places of None, by the list's own search."""
+    out: list[int] = []
+    try:
+        at = -1
+        while True:
+            at = items.index(None, at + 1)
+            out.append(at)
+    except ValueError:
         return out
 
 
