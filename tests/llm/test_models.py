@@ -262,6 +262,16 @@ def test_sketches_never_miss_a_similar_pair():
                 assert j >= 0.84
 
 
+def test_a_link_between_families_is_found_behind_many_unsure_pairs(spark):
+    core, x, y = ([f"{c}{i}" for i in range(n)] for c, n in (("c", 3600), ("x", 380), ("y", 380)))
+    rows = []
+    for f, own in enumerate((x, y)):
+        rows += [(100 * f + i, " ".join([*core, *own, f"own{f}_{i}"])) for i in range(20)]  # across 0.826
+        rows.append((100 * f + 50, " ".join([*core, *own[:290]])))  # across 0.861
+    got = near_duplicates.near_duplicates(docs_of(spark, rows), 1, 85).collect()
+    assert {r.component_id for r in got} == {c for _, _, c, _ in brute_components(rows, 1, 85)} == {0}
+
+
 def test_bands_catch_the_limit():
     for percent in (80, 85, 95):
         assert (1 - (percent / 100) ** near_duplicates.ROWS) ** near_duplicates.bands_for(percent) <= near_duplicates.MISS * 1.0001

@@ -5,9 +5,10 @@
    long one - into a parity bitmap; the population count of the XOR of two bitmaps tells how much two sets differ.
 2. Classes that share a band key meet in groups of bounded size; larger buckets meet as pairs of blocks. In a group, the
    sketches alone tell which pairs are surely similar, which may be and which are not. A spanning forest of the sure
-   pairs and the unsure pairs between its trees, until these leave no doubt, go on: enough for all components, far
-   fewer than all pairs.
-3. These edges are confirmed on the full sets, components are found by contraction, and each gets its smallest doc_id.
+   pairs and the unsure pairs between its trees, until these leave little doubt, go on first: far fewer than all pairs.
+3. These edges are confirmed on the full sets, and components are found by contraction. Groups that kept unsure pairs
+   back meet again: what stands between classes that no confirmed link joins goes on, in growing numbers, until a link
+   is found or no pair is left. Each component gets its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ BITS = 1024  # of an odd sketch
 SAMPLE = 512  # hash values in a sketch, at most about
 BLOCK = 1024  # classes that meet in one group, of each of its two blocks
 CACHED = 500_000  # words whose hashes a worker keeps
-DOUBT = math.log(1e-6)  # log of the chance that trees whose unsure pairs count as enough are not linked after all
+DOUBT = math.log(1e-6)  # log of the chance up to which unsure pairs of two trees wait for the first ones to be confirmed
+FURTHER = 64  # unsure pairs of two components that a group sends on in the second round
+GROWTH = 16  # times as many in every round after it
 BROADCAST_KEYS = 2_000_000  # keys of rows whose sets are needed, up to which they are broadcast
 
 _workers: dict = {}
@@ -231,37 +234,39 @@ class _Union:
         return x
 
 
-def _unsure(doubt: np.ndarray, of: np.ndarray, union: _Union, degree: np.ndarray) -> list[tuple[int, int]]:
-    """Unsure pairs between trees, least doubtful first, until the doubt about all pairs of two trees is below DOUBT.
+def _unsure(doubt: np.ndarray, of: np.ndarray, union: _Union, degree: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """Unsure pairs between trees to confirm first, least doubtful first, and whether others wait for what comes of them.
 
-    Two trees that are linked that surely count as one from then on: pairs between them could tell nothing new.
+    Trees whose pairs leave little doubt count as one here, which tells what to confirm first and links nothing.
     """
     root = np.array([union.find(x) for x in range(len(union.parent))])[of]
     x, y = np.nonzero(np.triu(doubt < 0) & (root[:, None] != root[None, :]))
     order = np.lexsort((-np.maximum(degree[x], degree[y]), doubt[x, y]))
     left: dict[tuple[int, int], float] = {}
-    edges = []
+    edges, waiting = [], False
     for i, j, log in zip(x[order].tolist(), y[order].tolist(), doubt[x, y][order].tolist(), strict=True):
         a, b = union.find(int(of[i])), union.find(int(of[j]))
         if a == b:
+            waiting = True
             continue
         edges.append((i, j))
         key = (min(a, b), max(a, b))
         left[key] = left.get(key, 0.0) + log
         if left[key] <= DOUBT:
             union.parent[a] = b
-    return edges
+    return edges, waiting
 
 
-def group_edges(names: list[bytes], blocks: np.ndarray, level, s1, s2, sketch, percent: int) -> list[tuple[int, int]]:
-    """Edges to confirm among classes that met: all of a block with itself, only those across of two blocks."""
+def group_edges(names: list[bytes], blocks: np.ndarray, level, s1, s2, sketch, percent: int) -> tuple[list[tuple[int, int]], bool]:
+    """Edges to confirm first among classes that met, and whether others wait: all of a block with itself, only those across of two blocks."""
     if len(names) < 2:
-        return []
+        return [], False
     sure, doubt = _classify(level, s1, s2, sketch, percent)
     degree = sure.sum(1)
     if blocks.min() == blocks.max():
         of, edges = _trees(sure, names)
-        return edges + _unsure(doubt, of, _Union(int(of.max()) + 1), degree)
+        more, waiting = _unsure(doubt, of, _Union(int(of.max()) + 1), degree)
+        return edges + more, waiting
     other = blocks[:, None] != blocks[None, :]
     of, _ = _trees(sure & ~other, names)
     union, edges = _Union(int(of.max()) + 1), []
@@ -273,11 +278,33 @@ def group_edges(names: list[bytes], blocks: np.ndarray, level, s1, s2, sketch, p
             if a != b:
                 union.parent[a] = b
                 edges.append((i, j))
-    return edges + _unsure(np.where(other, doubt, 0), of, union, degree)
+    more, waiting = _unsure(np.where(other, doubt, 0), of, union, degree)
+    return edges + more, waiting
 
 
-def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes to confirm."""
+def further_edges(root: np.ndarray, blocks: np.ndarray, level, s1, s2, sketch, percent: int, most: int) -> tuple[np.ndarray, bool]:
+    """The first `most` pairs of every two components that met, least doubtful first, and whether there are more."""
+    sure, doubt = _classify(level, s1, s2, sketch, percent)
+    degree = sure.sum(1)
+    open_ = (sure | (doubt < 0)) & (root[:, None] != root[None, :])
+    if blocks.min() != blocks.max():
+        open_ &= blocks[:, None] != blocks[None, :]
+    x, y = np.nonzero(np.triu(open_))
+    if not len(x):
+        return np.zeros((0, 2), np.int64), False
+    key = np.minimum(root[x], root[y]) * len(root) + np.maximum(root[x], root[y])
+    order = np.lexsort((-np.maximum(degree[x], degree[y]), np.where(sure[x, y], -np.inf, doubt[x, y]), key))
+    x, y, key = x[order], y[order], key[order]
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    place = np.arange(len(key)) - np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    return np.stack([x, y], 1)[place < most], bool((place >= most).any())
+
+
+def candidate_edges(classes: DataFrame, percent: int, waiting: DataFrame | None = None, roots: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """Distinct pairs (a, b) of classes to confirm, and rows of nulls with the group `g` that has more.
+
+    With groups that wait, those alone: their first `most` pairs of every two components, as confirmed links made them.
+    """
     member = classes.select("cls", F.explode("bands").alias("band"))
     h = F.xxhash64("cls")
     # buckets of the same members, as several bands give them, meet once
@@ -289,6 +316,16 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         .select("cls", "band", blocks.alias("blocks"), F.pmod(h, blocks).cast("int").alias("block"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cls", "block", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
+    )
+    again = waiting is not None
+    if again:
+        met = met.join(waiting, "g", "left_semi")
+    if roots is not None:
+        met = met.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    else:
+        met = met.withColumn("root", F.lit(None).cast("binary"))
+    met = (
+        met.withColumn("root", F.coalesce("root", "cls"))
         .join(classes.select("cls", "level", "s1", "s2", "sketch"), "cls")
         .repartition("g")
         .sortWithinPartitions("g")
@@ -315,15 +352,28 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
         names = rows.column("cls").to_pylist()
         block, level, s1, s2 = (rows.column(c).to_numpy() for c in ("block", "level", "s1", "s2"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, 256)
-        found = set()
+        roots = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)[1] if again else None
+        g = rows.column("g").to_numpy()
+        found, more = set(), []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for i, j in group_edges(names[a:b], block[a:b], level[a:b], s1[a:b], s2[a:b], sketch[a:b], percent):
+            if again:
+                of = np.unique(roots[a:b], return_inverse=True)[1]
+                pairs, cut = further_edges(of, block[a:b], level[a:b], s1[a:b], s2[a:b], sketch[a:b], percent, most)
+                pairs = pairs.tolist()
+            else:
+                pairs, cut = group_edges(names[a:b], block[a:b], level[a:b], s1[a:b], s2[a:b], sketch[a:b], percent)
+            for i, j in pairs:
                 x, y = names[a + i], names[a + j]
                 found.add((min(x, y), max(x, y)))
+            if cut:
+                more.append(int(g[a]))
         cols = list(zip(*sorted(found), strict=True)) or [(), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], ["a", "b"])
+        none = [None] * len(more)
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([*c, *none], pa.binary()) for c in cols], pa.array([None] * len(found) + more, pa.int64())], ["a", "b", "g"]
+        )
 
-    return met.mapInArrow(make, "a binary, b binary").distinct()
+    return met.mapInArrow(make, "a binary, b binary, g long").distinct()
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
@@ -385,6 +435,32 @@ def components(edges: DataFrame) -> DataFrame | None:
     return labels
 
 
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """node, root of the components of all confirmed links; None without any.
+
+    Only confirmed links join: in every round, groups that kept pairs back send on more of those between components.
+    """
+    got = common.staged(candidate_edges(classes, percent), "candidates")
+    tried = got.where("a is not null").select("a", "b")
+    sets = common.staged(full_sets(docs, classes, tried, k), "sets")
+    links = common.staged(confirmed(tried, sets, percent), "links")
+    roots, most = components(links), FURTHER
+    waiting = got.where("g is not null").select("g")
+    while not waiting.isEmpty():
+        got = common.staged(candidate_edges(classes, percent, waiting, roots, most), "candidates")
+        new = common.staged(got.where("a is not null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "further")
+        if not new.isEmpty():
+            unread = classes.join(sets.select("cls"), "cls", "left_anti")
+            sets = sets.union(common.staged(full_sets(docs, unread, new, k), "sets"))
+            found = common.staged(confirmed(new, sets, percent), "links")
+            tried = tried.union(new)
+            if not found.isEmpty():
+                links = links.union(found)
+                roots = components(links)
+        waiting, most = got.where("g is not null").select("g"), most * GROWTH
+    return roots
+
+
 def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Signed rows, and each class with its component's smallest doc_id."""
     signed = common.staged(signatures(docs, k, bands_for(percent)), "signed")
@@ -394,9 +470,7 @@ def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFr
         .agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), *[F.first(c).alias(c) for c in ("bands", "level", "s1", "s2", "sketch")]),
         "classes",
     )
-    edges = common.staged(candidate_edges(classes, percent), "candidates")
-    links = common.staged(confirmed(edges, common.staged(full_sets(docs, classes, edges, k), "sets"), percent), "links")
-    roots = components(links)
+    roots = linked(docs, classes, k, percent)
     named = classes.select("cls", "least_id")
     if roots is None:
         return signed, named.select("cls", F.col("least_id").alias("component_id"))
