@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trialweave.llm import common, language, licenses, near_duplicates, pii, quality, scoring, toxicity
 
@@ -369,6 +370,15 @@ def test_context_helps():
     assert logs[0] > 0.7 * (base[0] - 301 * math.log10(sum(c.values())))
 
 
+def test_contexts_of_all_training_documents_count(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "SAMPLE_TOKENS", 1)  # one document for the first values
+    rng = random.Random(4)
+    phrases = ["aa bb cc", "dd ee ff", "gg hh"]
+    rows = [(i, " ".join(rng.choice(phrases) for _ in range(20))) for i in range(2500)]
+    got = scoring.scores(docs_of(spark, rows), 100, 40).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.5 * got[1]
+
+
 # --- personal data ----------------------------------------------------------------------------------------------------
 
 

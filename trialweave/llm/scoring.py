@@ -2,17 +2,19 @@
 
 Token counts come from all training documents. Frequent words (a bounded table) are known to every worker; rarer ones
 meet their counts in a join. The neural model predicts a unit: a word of its own for the most frequent, a class by word
-ending for other frequent words, one unit for all rarer words. It is trained in numpy on a bounded sample and normalised
-by a softmax over all units; within a unit, words share its probability by their corpus counts, so that the
-probabilities of all words, one unknown word included, sum to one.
+ending for other frequent words, one unit for all rarer words. A bounded sample gives its tables their first values; from
+these, every task trains on all training documents that it reads, and the tables of all tasks are averaged by their
+tokens. A softmax over all units normalises; within a unit, words share its probability by their corpus counts, so that
+the probabilities of all words, one unknown word included, sum to one.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -27,8 +29,9 @@ FOLDS, HELD_OUT = 5, 1
 FREQUENT = 400_000  # words of the broadcast table, at most
 OWN_UNITS, CLASS_UNITS = 95, 32
 CONTEXT, WIDTH = 3, 24
-SAMPLE_DOCS = 1_500  # documents, at most, that the neural model is trained on
+SAMPLE_DOCS = 1_500  # documents, at most, from which the neural model's tables get their first values
 SAMPLE_TOKENS = 300_000
+GATHERED = 65_536  # tokens that a task gathers and mixes before it trains on them
 FLUSH_WORDS = 200_000  # distinct words that a task counts before it hands them on
 CLIP = 1_000  # counts from here on are one class when the table's least count is sought
 END = b""  # the end token; no word is empty
@@ -115,8 +118,58 @@ def contexts(ids: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def train(ids: np.ndarray, ctx: np.ndarray, n_units: int, epochs: int = 4, batch: int = 1024, noise: int = 48, rate: float = 0.02, seed: int = 3):
+class Trainer:
     """Noise-contrastive estimation with noise from the unigram distribution, shared within a batch; Adam steps."""
+
+    def __init__(self, tables: dict[str, np.ndarray], p: np.ndarray, kind: type, batch: int = 1024, noise: int = 48, rate: float = 0.02, fall: float = np.inf, seed: int = 3):
+        self.tables = {k: v.astype(kind) for k, v in tables.items()}
+        self.state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.tables.items()}
+        self.p, self.offset = p, np.log(noise * p).astype(kind)
+        self.batch, self.noise, self.rate, self.fall = batch, noise, rate, fall
+        self.rng, self.step = np.random.default_rng(seed), 0
+
+    def run(self, ids: np.ndarray, ctx: np.ndarray) -> None:
+        """One pass over the tokens in mixed order."""
+        order = self.rng.permutation(len(ids))
+        for at in range(0, len(order), self.batch):
+            rows = order[at : at + self.batch]
+            self._batch(ids[rows], ctx[rows])
+
+    def _batch(self, w: np.ndarray, h: np.ndarray) -> None:
+        r, c, q, b = (self.tables[k] for k in "rcqb")
+        n_units = len(b)
+        hidden = sum((r @ c[j])[h[:, j]] for j in range(CONTEXT))
+        drawn = self.rng.choice(n_units, self.noise, p=self.p)
+        q_own, q_drawn = q[w], q[drawn]
+        good = (hidden * q_own).sum(1) + b[w] - self.offset[w]
+        bad = hidden @ q_drawn.T + (b[drawn] - self.offset[drawn])
+        e_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigma
+        e_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
+        g_hidden = e_good[:, None] * q_own + e_bad @ q_drawn
+        g_q = _by_unit(w, e_good[:, None] * hidden, n_units)
+        np.add.at(g_q, drawn, e_bad.T @ hidden)
+        g_b = np.bincount(w, e_good, n_units) + np.bincount(drawn, e_bad.sum(0), n_units)
+        back = [_by_unit(h[:, j], g_hidden, n_units) for j in range(CONTEXT)]
+        g_c = np.stack([r.T @ back[j] for j in range(CONTEXT)])
+        g_r = sum(back[j] @ c[j].T for j in range(CONTEXT))
+        self.step += 1
+        rate = self.rate / np.sqrt(1 + self.step / self.fall)
+        for k, g in (("r", g_r), ("c", g_c), ("q", g_q), ("b", g_b)):
+            g = g / len(w)
+            m, v = self.state[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.tables[k] += rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)
+
+
+def _by_unit(units: np.ndarray, rows: np.ndarray, n_units: int) -> np.ndarray:
+    """Sums of the rows of each unit."""
+    at = units[:, None] * WIDTH + np.arange(WIDTH)
+    return np.bincount(at.ravel(), rows.ravel(), n_units * WIDTH).reshape(n_units, WIDTH)
+
+
+def train(ids: np.ndarray, ctx: np.ndarray, n_units: int, epochs: int = 4, seed: int = 3) -> dict[str, np.ndarray]:
+    """Tables r (units), c (places), q (targets) and b (biases) from one sample."""
     rng = np.random.default_rng(seed)
     freq = np.bincount(ids, minlength=n_units) + 0.5
     p = freq / freq.sum()
@@ -124,45 +177,61 @@ def train(ids: np.ndarray, ctx: np.ndarray, n_units: int, epochs: int = 4, batch
         "r": rng.normal(0, 0.1, (n_units, WIDTH)), "c": np.stack([np.eye(WIDTH) / (j + 1) for j in range(CONTEXT)]),
         "q": rng.normal(0, 0.1, (n_units, WIDTH)), "b": np.log(p),
     }
-    state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in tables.items()}
-    step = 0
-    offset = np.log(noise * p)
+    trainer = Trainer(tables, p, np.float64, seed=seed)
     for _ in range(epochs):
-        order = rng.permutation(len(ids))
-        for at in range(0, len(order), batch):
-            rows = order[at : at + batch]
-            w, h = ids[rows], ctx[rows]
-            r, c, q, b = (tables[k] for k in "rcqb")
-            parts = [r[h[:, j]] for j in range(CONTEXT)]
-            hidden = sum(parts[j] @ c[j] for j in range(CONTEXT))
-            drawn = rng.choice(n_units, noise, p=p)
-            good = (hidden * q[w]).sum(1) + b[w] - offset[w]
-            bad = hidden @ q[drawn].T + b[drawn] - offset[drawn]
-            e_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigma
-            e_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-            g_hidden = e_good[:, None] * q[w] + e_bad @ q[drawn]
-            one = np.zeros((n_units, len(rows)))
-            one[w, np.arange(len(rows))] = e_good
-            g_q = one @ hidden
-            np.add.at(g_q, drawn, e_bad.T @ hidden)
-            g_b = np.bincount(w, e_good, n_units) + np.bincount(drawn, e_bad.sum(0), n_units)
-            g_r, g_c = np.zeros_like(r), np.zeros_like(c)
-            for j in range(CONTEXT):
-                g_c[j] = parts[j].T @ g_hidden
-                back = g_hidden @ c[j].T
-                g_r += np.stack([np.bincount(h[:, j], back[:, d], n_units) for d in range(WIDTH)], 1)
-            step += 1
-            for k, g in (("r", g_r), ("c", g_c), ("q", g_q), ("b", g_b)):
-                g = g / len(rows)
-                m, v = state[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                tables[k] += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return np.stack([tables["r"] @ tables["c"][j] for j in range(CONTEXT)]), tables["q"], tables["b"]
-
-
-def build(words: list[bytes], counts: np.ndarray, total: int, distinct: int, sample: list[bytes]) -> Model:
-    """The model from frequent words by falling count, the corpus totals and sample texts."""
+        trainer.run(ids, ctx)
+    return trainer.tables
+
+
+def train_on_all(training: DataFrame, words: list[bytes], units: np.ndarray, first: int, tables: dict[str, np.ndarray], p: np.ndarray) -> dict[str, np.ndarray]:
+    """The tables after a pass over all training documents: the mean of what each task makes of them, by its tokens."""
+    shipped = training.sparkSession.sparkContext.broadcast((words, units, tables))
+    order = sorted(tables)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, units, tables = shipped.value
+        unit = dict(zip(words, units.tolist(), strict=True))
+        trainer = Trainer(tables, p, np.float32, fall=50.0)
+        docs: list[np.ndarray] = []
+        size = total = 0
+
+        def flush() -> None:
+            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+            ids = np.concatenate(docs)
+            trainer.run(ids, contexts(ids, np.repeat(np.cumsum(sizes) - sizes, sizes), first))
+
+        for batch in common.sliced(batches, 256):
+            for text in common.texts(batch):
+                doc = [*common.space_words(text), END]
+                docs.append(np.fromiter(map(unit.get, doc, repeat(0)), np.int64, len(doc)))
+                size += len(doc)
+                if size >= GATHERED:
+                    flush()
+                    docs, total, size = [], total + size, 0
+        if docs:
+            flush()
+            total += size
+        if total:
+            flat = np.concatenate([trainer.tables[k].ravel() for k in order]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "tables"])
+
+    trained = common.staged(training.select(F.col("text").cast("binary").alias("text")).mapInArrow(make, "n long, tables binary"), "tables")
+    n, summed = 0, np.zeros(sum(tables[k].size for k in order))
+    for r in trained.orderBy("n", "tables").toLocalIterator():  # a small row for each task
+        n += r.n
+        summed += r.n * np.frombuffer(r.tables, np.float32).astype(np.float64)
+    shipped.unpersist()
+    if not n:
+        return tables
+    parts = np.split(summed / n, np.cumsum([tables[k].size for k in order])[:-1])
+    return {k: v.reshape(tables[k].shape) for k, v in zip(order, parts, strict=True)}
+
+
+def build(words: list[bytes], counts: np.ndarray, total: int, distinct: int, sample: list[bytes], further: Callable | None = None) -> Model:
+    """The model from frequent words by falling count, the corpus totals and sample texts.
+
+    `further` trains on, from words, units, the unit before a text, tables and the units' shares of the corpus.
+    """
     units = unit_of(words)
     n_units = 1 + OWN_UNITS + CLASS_UNITS
     mass = np.bincount(units, counts + 0.5, n_units)
@@ -178,7 +247,11 @@ def build(words: list[bytes], counts: np.ndarray, total: int, distinct: int, sam
     first = int(units[number[END]]) if END in number else 0
     if ids:
         flat = np.concatenate(ids)
-        context, target, bias = train(flat, contexts(flat, np.concatenate(starts), first), n_units)
+        tables = train(flat, contexts(flat, np.concatenate(starts), first), n_units)
+        if further:
+            p = np.maximum(mass, 0.5)
+            tables = further(words, units, first, tables, p / p.sum())
+        context, target, bias = np.stack([tables["r"] @ tables["c"][j] for j in range(CONTEXT)]), tables["q"], tables["b"]
     else:
         context, target, bias = np.zeros((CONTEXT, n_units, 1)), np.zeros((n_units, 1)), np.zeros(n_units)
     # a unit without any word takes no probability
@@ -252,7 +325,7 @@ def learn(docs: DataFrame, frequent: int, sample_docs: int) -> tuple[Model, Data
         if size < SAMPLE_TOKENS:
             sample.append(rows[j][1])
             size += 1 + len(rows[j][1].split())
-    return build(words, c, total, distinct, sample), counts, least, total, distinct
+    return build(words, c, total, distinct, sample, partial(train_on_all, training)), counts, least, total, distinct
 
 
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, model double, rare array<struct<word:binary,n:long>>"
