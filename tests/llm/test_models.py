@@ -423,6 +423,19 @@ def test_patterns_discover_what_no_form_covers(spark):
     assert pii.personal_data(docs.limit(0)).count() == 0
 
 
+def test_all_confident_patterns_are_applied_however_many(spark, monkeypatch):
+    rng = random.Random(14)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, "".join(f"\nkey{k} {hexa(39)}1 end{k}" for k in range(i * 50 % 1000, i * 50 % 1000 + 50))) for i in range(160)]
+    rows += [(1000 + k, f"key{k} {hexa(5)}7q there, see key{(k + 1) % 1000} {hexa(5)}8r") for k in range(1000)]
+    docs = docs_of(spark, rows)
+    shown = lambda: (sorted(pii.personal_data(docs).collect()), sorted(pii.redact(docs).collect()))
+    got = shown()
+    assert Counter(r.n_added for r in got[0] if r.doc_id >= 1000) == {2: 1000}
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", 0)
+    assert shown() == got
+
+
 def test_common_words_and_folds(spark):
     assert common.plain_words("Ab-C é1_x\x7fq".encode()) == [b"ab", b"c", "é1".encode(), b"x", b"q"]
     df = spark.createDataFrame([(7,), (None,)], "doc_id long").select(common.fold_is(common.F.col("doc_id"), 4, zlib.crc32(b"7") % 4).alias("x"))

@@ -12,11 +12,13 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from trialweave.llm import common
 
@@ -24,7 +26,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 2  # turns of scoring patterns from instances and instances from patterns
 LEAST_INSTANCES = 5  # distinct instances of a pattern
 LEAST_CONFIDENCE = 0.6
-MOST_PATTERNS = 2_000  # patterns that are sent to the workers, best first
+BROADCAST_PATTERNS = 200_000  # patterns of less than 100 bytes up to which they are sent to all workers; beyond it they are joined
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -212,11 +214,29 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return patterns
 
 
-def learn_patterns(docs: DataFrame) -> dict[bytes, str]:
-    """The patterns of high confidence, most supported first, at most MOST_PATTERNS of them, each with its kind."""
+def learn_patterns(docs: DataFrame) -> DataFrame:
+    """pattern, kind: all patterns of high confidence."""
     edges = common.staged(pattern_instances(docs), "patterns")
-    best = scored_patterns(edges).orderBy(F.desc(F.col("confidence") * F.log1p("instances")), "pattern").limit(MOST_PATTERNS)
-    return {bytes(r.pattern): FOUND_KINDS[r.kind - 1] for r in best.collect()}
+    return common.staged(scored_patterns(edges).select("pattern", "kind"), "learned")
+
+
+def _named(rows: list) -> dict[bytes, str]:
+    return {bytes(r["pattern"]): FOUND_KINDS[r["kind"] - 1] for r in rows}
+
+
+def with_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
+    """The rows with `__patterns`, those of the learned patterns that stand in the row's text; equal texts are read once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches):
+            found = {(k, p) for k, t in zip(common.column(batch, "__key"), common.texts(batch), strict=True) for *_, of in candidates(t) for p in of}
+            cols = list(zip(*sorted(found), strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["__key", "pattern"])
+
+    keyed = rows.withColumn("__key", F.xxhash64(text))
+    stand = keyed.select("__key", F.col(text).alias("text")).mapInArrow(make, "__key long, pattern binary").distinct()
+    own = stand.join(patterns, "pattern").groupBy("__key").agg(F.collect_list(F.struct("pattern", "kind")).alias("__patterns"))
+    return keyed.join(own, "__key", "left").drop("__key")
 
 
 def found_spans(text: bytes, patterns: dict[bytes, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -253,13 +273,15 @@ def personal_data(docs: DataFrame) -> DataFrame:
     A null text counts as empty: no spans, the digest of nothing. Repeated rows each give a row, and count once as
     instances; a null doc_id stays null. Spans that patterns add never overlap base spans. Other columns are ignored.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(learn_patterns(docs))
+    learned = learn_patterns(docs)
+    joined = learned.count() > BROADCAST_PATTERNS
+    shipped = docs.sparkSession.sparkContext.broadcast({} if joined else _named(learned.collect()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = shipped.value
         for batch in common.sliced(batches):
             out: list[list] = [[] for _ in range(7)]
-            for text in common.texts(batch):
+            own = map(_named, (x or [] for x in common.column(batch, "__patterns"))) if joined else repeat(shipped.value)
+            for text, patterns in zip(common.texts(batch), own, strict=joined):
                 base, more = found_spans(text, patterns)
                 row = [sum(k == kind for k, _, _ in base) for kind in KINDS]
                 row += [hashlib.sha256(_listed(text, base).encode()).hexdigest(), _listed(text, base + more), len(more)]
@@ -271,26 +293,35 @@ def personal_data(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"],
             )
 
-    return common.id_and_text(docs).mapInArrow(make, SCHEMA)
+    rows = common.id_and_text(docs)
+    return (with_patterns(rows, "text", learned) if joined else rows).mapInArrow(make, SCHEMA)
+
+
+def redacted_once(text: bytes, patterns: dict[bytes, str]) -> bytes | None:
+    """The text with a placeholder in the place of each run of overlapping spans; None where nothing is found."""
+    base, more = found_spans(text, patterns)
+    if not base and not more:
+        return None
+    out, last = [], 0
+    for kind, a, b in sorted(base + more, key=lambda s: (s[1], -s[2])):
+        if a >= last:
+            out += [text[last:a], b"<", kind.upper().encode(), b">"]
+        last = max(last, b)
+    return b"".join([*out, text[last:]])
 
 
 def redacted_text(text: bytes, patterns: dict[bytes, str]) -> bytes:
-    """The text with a placeholder in the place of each run of overlapping spans, until nothing is found any more."""
-    while True:
-        base, more = found_spans(text, patterns)
-        if not base and not more:
-            return text
-        out, last = [], 0
-        for kind, a, b in sorted(base + more, key=lambda s: (s[1], -s[2])):
-            if a >= last:
-                out += [text[last:a], b"<", kind.upper().encode(), b">"]
-            last = max(last, b)
-        text = b"".join([*out, text[last:]])
+    """The text redacted until nothing is found any more."""
+    while (new := redacted_once(text, patterns)) is not None:
+        text = new
+    return text
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data in `text` replaced by placeholders; null texts and other columns stay."""
-    shipped = docs.sparkSession.sparkContext.broadcast(learn_patterns(docs))
+    learned = learn_patterns(docs)
+    joined = learned.count() > BROADCAST_PATTERNS
+    shipped = docs.sparkSession.sparkContext.broadcast({} if joined else _named(learned.collect()))
     names = [f.name for f in docs.schema]
     inner = docs.select(*[F.col(f"`{n}`").cast("binary").alias(f"_{i}") if n == "text" else F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)])
     at = names.index("text")
@@ -301,5 +332,23 @@ def redact(docs: DataFrame) -> DataFrame:
             new = pa.array([None if t is None else redacted_text(t, patterns) for t in batch.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-    out = inner.mapInArrow(make, inner.schema)
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.sliced(batches):
+            old, own = batch.column(at).to_pylist(), common.column(batch, "__patterns")
+            new = [None if t is None else redacted_once(t, _named(x or [])) for t, x in zip(old, own, strict=True)]
+            texts = pa.array([t if n is None else n for t, n in zip(old, new, strict=True)], pa.binary())
+            columns = [texts if i == at else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n is not None for n in new], pa.bool_())], [*batch.schema.names[: len(names)], "__open"])
+
+    if joined:  # contexts change with every turn, so each joins anew what still changes
+        done, left, schema = None, inner, inner.schema
+        while True:
+            turned = common.staged(with_patterns(left, f"_{at}", learned).mapInArrow(turn, StructType([*schema, StructField("__open", BooleanType())])), "redacted")
+            same, left = turned.where("not __open").drop("__open"), turned.where("__open").drop("__open")
+            done = same if done is None else done.union(same)
+            if left.isEmpty():
+                break
+        out = done
+    else:
+        out = inner.mapInArrow(make, inner.schema)
     return out.select(*[F.col(f"_{i}").cast("string").alias(n) if n == "text" else F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
