@@ -302,6 +302,17 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.toxicity(docs_of(spark, ODD).limit(0), labs).count() == 0
 
 
+def test_closeness_to_second_person_words_at_any_length():
+    rng = random.Random(15)
+    lexicon = toxicity.Lexicon({b"idiot": 2.0})
+    at = toxicity.FEATURES.index("near_you")
+    for n in (1, 5, 200, 6000):
+        words = rng.choices(["you", "idiot", "word"], k=n)
+        you = [i for i, w in enumerate(words) if w == "you"]
+        want = sum(1 / (1 + min(abs(i - j) for j in you)) for i, w in enumerate(words) if w == "idiot") if you else 0.0
+        assert lexicon.features(" ".join(words).encode())[at] == pytest.approx(want)
+
+
 def test_isotonic_is_the_best_monotone_fit():
     rng = np.random.default_rng(2)
     x, y = np.round(rng.random(200), 2), (rng.random(200) < 0.4).astype(float)

@@ -48,7 +48,7 @@ class Lexicon:
         get = self.weight.get
         found = [(i, g) for i, g in enumerate(map(get, words)) if g is not None]
         you = [i for i, w in enumerate(words) if w in _YOU] if found else ()
-        near = sum(1.0 / (1 + min(abs(i - j) for j in you)) for i, _ in found) if you and len(you) * len(found) < 2_000_000 else 0.0
+        near = _closeness([i for i, _ in found], you) if you else 0.0
         odd = _OBFUSCATED.findall(text) if any(c in text for c in b"0123456789@$*!") else ()
         folded = sum(1 for w in odd if w.lower().translate(_FOLD) in self.weight)
         g = [x for _, x in found]
@@ -63,6 +63,14 @@ class Lexicon:
         )
 
 
+def _closeness(found: list[int], you: list[int]) -> float:
+    """Sum of 1 / (1 + distance) from each place found to the nearest of the others, both in rising order."""
+    at, to = np.array(found), np.array(you)
+    k = np.searchsorted(to, at)
+    away = np.minimum(np.abs(at - to[np.maximum(k - 1, 0)]), np.abs(at - to[np.minimum(k, len(to) - 1)]))
+    return sum((1.0 / (1 + away)).tolist())  # in order, as the distances come
+
+
 _SEED = frozenset(w.encode() for w in SEED)
 _YOU = frozenset(w.encode() for w in SECOND_PERSON)
 
