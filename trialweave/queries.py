@@ -7,6 +7,7 @@ covariates, the return flag for the treatment, a discount above 0.05 for the out
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,8 +129,13 @@ def mc_oi_apo(spark, sf_dir):
 
 @query()
 def mc_ipw_apo(spark, sf_dir):
-    df = reports(spark, sf_dir).where("trial = 'F'")
-    got = E.observed_responses(E.logistic_weights(df, ["large", "q"], "t", 3), "t", "y", "weight", 3)
+    df = reports(spark, sf_dir)
+    of_trial = [
+        E.logistic_weights(df.where(F.col("trial").eqNullSafe(F.lit(r.trial))), ["large", "q"], "t", 3, f"trial {r.trial}")
+        for r in df.select("trial").distinct().orderBy("trial").collect()  # each fit is one trial's, and trials are few
+    ]
+    weights = reduce(DataFrame.unionByName, of_trial) if of_trial else df.withColumn("weight", F.lit(1.0))
+    got = E.observed_responses(weights, "t", "y", "weight", 3)
     return E.potential_outcomes(got, KEYS, 3, weights="weights").select("trial", "arm", F.round("apo", 3).alias("apo"))
 
 
