@@ -447,6 +447,16 @@ def test_all_confident_patterns_are_applied_however_many(spark, monkeypatch):
     assert shown() == got
 
 
+def test_identifiers_without_digits_are_seeds_and_found(spark):
+    rng = random.Random(16)
+    name = lambda: "".join(rng.choice("bcdfghjklm") for _ in range(9))
+    rows = [(i, f"write to contact={name()}@{name()}.org today") for i in range(30)] + [(50 + i, f"contact: {name()}@example.org") for i in range(30)]
+    rows += [(100, "see contact=maryatexample there"), (101, "contact: maryatexample"), (102, "note: plain words only"), (103, "the end: of it")]
+    got = {r.doc_id: r for r in pii.personal_data(docs_of(spark, rows)).collect()}
+    assert got[100].spans == "email:12:25" and got[101].spans == "email:9:22"
+    assert got[102].spans == got[103].spans == ""
+
+
 def test_common_words_and_folds(spark):
     assert common.plain_words("Ab-C é1_x\x7fq".encode()) == [b"ab", b"c", "é1".encode(), b"x", b"q"]
     df = spark.createDataFrame([(7,), (None,)], "doc_id long").select(common.fold_is(common.F.col("doc_id"), 4, zlib.crc32(b"7") % 4).alias("x"))

@@ -40,6 +40,8 @@ _NOT_DIGITS = bytes(c for c in range(256) if not 48 <= c <= 57)
 _SECRET_SEED = re.compile(rb"AKIA[0-9A-Z]{12,}|[0-9a-f]{40}|[0-9A-F]{40}|(?:sk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}")
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _KEY = re.compile(rb"[A-Za-z_][A-Za-z0-9_]*[=:]")
+_PLACEHOLDERS = frozenset(k.upper().encode() for k in (*KINDS, "secret"))  # what redaction leaves after a key is no identifier
+_AFTER_KEY = re.compile(rb"[=:][\x20\x09-\x0D]*+(?=[^\x20\x09-\x0D])")
 _STRIP = b"\"'`.,;:!?()[]{}<>#%*$&|"
 
 
@@ -106,24 +108,27 @@ def shape(token: bytes) -> bytes:
 
 
 def candidates(text: bytes) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...]]]:
-    """Tokens with digits: (start, end, instance, patterns).
+    """Tokens with digits, seeds, and what follows a key: (start, end, instance, patterns).
 
     A key before "=" or ":" belongs to the context, as do quotes: `password="x1"` is the instance x1 after "password=".
     The patterns are the context on the left alone, with the shape, with the context on the right too, and for long
     tokens of letters and digits the shape alone.
     """
-    if not _DIGIT.search(text):
+    places = [m.start() for m in _DIGIT.finditer(text)]
+    if b"@" in text:
+        places += [a for a, _ in emails(text)]
+    if b"=" in text or b":" in text:
+        places += [m.end() for m in _AFTER_KEY.finditer(text)]
+    if not places:
         return
-    tokens: list[tuple[int, int]] | None = None
-    starts: list[int] = []
+    places.sort()
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts = [a for a, _ in tokens]
     seen = -1
-    for d in _DIGIT.finditer(text):
-        if d.start() < seen:
+    for place in places:
+        if place < seen:
             continue
-        if tokens is None:
-            tokens = [m.span() for m in _TOKEN.finditer(text)]
-            starts = [a for a, _ in tokens]
-        k = bisect_right(starts, d.start()) - 1
+        k = bisect_right(starts, place) - 1
         a, b = tokens[k]
         seen = b
         raw = text[a:b]
@@ -131,15 +136,20 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...]
         before = _clean(text[slice(*tokens[k - 2])]) if k > 1 else b"^"
         right = _clean(text[slice(*tokens[k + 1])]) if k + 1 < len(tokens) else b"$"
         key = _KEY.match(raw)
+        keyed = True
         if key and key.end() < len(raw):
             left, a, raw = key[0].lower(), a + key.end(), raw[key.end() :]
         elif left in (b"=", b":"):
             left = before + left
+        else:
+            keyed = left[-1:] in (b"=", b":")
         head = len(raw) - len(raw.lstrip(_STRIP))
         core = raw.strip(_STRIP)
-        if not core or not _DIGIT.search(core):
+        if not core or not (keyed or b"@" in core or _DIGIT.search(core)):
             continue
         a += head
+        if core in _PLACEHOLDERS and text[a - 1 : a] == b"<":
+            continue
         s = shape(core)
         forms = [(left, b"*", b"*"), (left, s, b"*"), (left, s, right)] + [(b"*", s, b"*")] * (b"x+" in s)
         yield a, a + len(core), core, tuple(b"\x1f".join(x) for x in forms)
