@@ -86,6 +86,21 @@ def test_decontaminate_leaves_no_window(spark):
     assert got[1].text.startswith("Before. x y z") and "after p q" in got[1].text
 
 
+@pytest.mark.parametrize("block", [10**6, 12, 1])
+def test_decontaminate_over_several_blocks(spark, block):
+    inner, outer = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    nested = " ".join([*outer[:6], *inner, *outer[6:]])
+    rows = [(1, f"{'p q ' * 40}{nested} {'r s ' * 40}"), (2, f"{'k ' * 60}{' '.join(outer[:5])} {nested} {' '.join(outer[5:])}"), (3, None), (4, "clean words"), (5, nested), (1, "clean too"), (6, "")]
+    bench = spark.createDataFrame([(1, " ".join(inner)), (2, " ".join(outer)), (3, "only three words")], "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "a", "b", "c", "d") for r in rows], "doc_id long, text string, cut string, words string, `__coverage` string, digest string")
+    got = decontamination.purified(docs, bench, block_words=block)
+    assert got.columns == docs.columns
+    left = {(r.doc_id, r.text) for r in got.select("doc_id", "text").collect()}
+    assert {(3, None), (4, "clean words"), (1, "clean too"), (6, "")} <= left and 5 not in {i for i, _ in left}
+    assert len(left) == 6 and decontamination.contamination(got, bench).where("contaminated").count() == 0
+    assert all(t.split() == ["p", "q"] * 40 + ["r", "s"] * 40 for i, t in left if i == 1 and t != "clean too")
+
+
 def test_packing_is_whole_and_gapless(spark, docs):
     path = P.path("word_bpe_49k.json")
     rows = packing.pack(docs, path, capacity=64).collect()
@@ -145,6 +160,27 @@ def test_pre_tokens_never_change_a_count():
         assert lengths.of(text) == lengths.count(text), repr(text)
 
 
+def test_odd_white_space_never_changes_a_count():
+    path = P.path("byte_bpe_50k.json")
+    lengths = token_counts.Lengths(path, (b"", np.array([])))
+    rng = random.Random(7)
+    bits = ["a", "Bc", " ", "  ", "\n", "\t", "é", "12", "'s", "\u00a0", "<|endoftext|>", ".", "\x1c", "\x85", "\u2009", "\u200b", "x" * 120, "\r\n", "\u3000"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    assert [lengths.of(t) for t in texts] == [lengths.count(t) for t in texts]
+    assert any(len(token_counts.all_pieces(t)) > 3 for t in texts)
+
+
+def test_the_broadcast_table_comes_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "WARM_DOCS", 40)
+    path = P.path("byte_bpe_50k.json")
+    rows = [(i, f"common word{i % 3}  and\ttabs " * (2000 if i % 50 == 0 else 2)) for i in range(400)]
+    blob, sizes = token_counts.frequent_lengths(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), path)
+    words = blob.decode().split("\n")
+    tok = Tokenizer.from_file(path)
+    assert {" word0", " word1", " word2", " and"} <= set(words) and len(words) == len(sizes)
+    assert [len(tok.encode(w, add_special_tokens=False).ids) for w in words] == sizes.tolist()
+
+
 def test_word_ids_equal_the_library():
     words = packing.WordIds(P.path("word_bpe_49k.json"))
     rng = random.Random(6)

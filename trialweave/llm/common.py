@@ -17,6 +17,7 @@ WORD_TABLE = bytes(
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes that continue a UTF-8 character; without them, bytes count code points.
 CONTINUATION = bytes(range(0x80, 0xC0))
+SAMPLE_BYTES = 96 << 20  # summed length of the whole texts that the driver takes to fit a model, at most
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -30,9 +31,11 @@ def space_words(text: bytes) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without one only a local session has one made."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -74,6 +77,10 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.names.index(name)).to_pylist()
 
 
+def own(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.names.index(name))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Smaller batches, so that what is made from one stays small."""
     for batch in batches:
@@ -85,6 +92,30 @@ def arrow_map(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(make, schema)
 
 
+def bounded_texts(df: DataFrame, ids: DataFrame, rows: int, size: int | None = None) -> list:
+    """Rows of `df` (doc_id, text and others) of the given few ids, to fit a model on: whole texts of `size` bytes in all
+    at most, each distinct row of an id and a text once, and `rows` of them at most.
+
+    Which ones is settled by id, digest and length alone, in the order of a hash of the id, so two runs take the same. A
+    text takes a sixteenth of the bytes at most: longer ones tell a model little for their size.
+    """
+    size = SAMPLE_BYTES if size is None else size
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns if c not in ("doc_id", "text")]
+    digest = F.md5(F.concat_ws("\1", *rest, F.col("text").cast("string")).cast("binary"))
+    mine = df.withColumns({"__d": digest, "__n": F.coalesce(F.octet_length("text"), F.lit(0))}).join(F.broadcast(ids), "doc_id")
+    mine = mine.where(F.col("__n") <= size // 16)
+    seen = mine.groupBy("doc_id", "__d").agg(F.max("__n").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "__d").limit(rows).collect()
+    place, total = {}, 0
+    for r in seen:
+        total += r.n
+        if total > size:
+            break
+        place[r.doc_id, r["__d"]] = len(place)
+    keys = df.sparkSession.createDataFrame(list(place), "doc_id long, __d string")
+    got = mine.join(F.broadcast(keys), ["doc_id", "__d"]).dropDuplicates(["doc_id", "__d"]).drop("__n").toLocalIterator()
+    return sorted(got, key=lambda r: place[r.doc_id, r["__d"]])
+
+
 def labelled_sample(labels: DataFrame, label: str, rows: int) -> DataFrame:
     """At most `rows` labelled ids in the order of a hash of the id, one label for each id (the largest)."""
     got = (

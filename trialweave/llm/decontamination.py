@@ -21,6 +21,7 @@ from trialweave.llm import common
 
 WINDOW = 10
 BLOCK_WORDS = 100_000  # words of items in one automaton, and so in one broadcast; more items make more passes
+BROADCAST_NUMBERS = 2_000_000  # numbers in the hits of several blocks, up to which these are broadcast
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _workers: dict = {}
@@ -154,33 +155,17 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
         yield block
 
 
-def _scan(df: DataFrame, block: list, window: int) -> DataFrame:
-    """Adds one block's spans and items to those of the blocks before."""
-    shipped = df.sparkSession.sparkContext.broadcast(block)
+def _automaton(block: list[tuple[int, list[bytes]]], window: int) -> Automaton:
+    """The worker's automaton of a block, built once for all its tasks."""
+    if _workers.get("block") is not block or _workers["automaton"].window != window:
+        _workers.update(block=block, automaton=Automaton(block, window))
+    return _workers["automaton"]
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _workers.get("block") is not shipped.value or _workers["automaton"].window != window:
-            _workers.update(block=shipped.value, automaton=Automaton(shipped.value, window))
-        automaton = _workers["automaton"]
-        for batch in common.sliced(batches):
-            n_words, spans, items = [], [], []
-            for text, old, had in zip(common.texts(batch), common.column(batch, "spans"), common.column(batch, "items"), strict=True):
-                words = common.plain_words(text)
-                got, of = automaton.match(words)
-                n_words.append(len(words))
-                spans.append(merged([*zip(old[::2], old[1::2], strict=True), *got]) if old else [x for s in got for x in s])
-                items.append(sorted({*had, *of}))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("n_words", "spans", "items")],
-                    pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())),
-                ],
-                [*[n for n in batch.schema.names if n not in ("n_words", "spans", "items")], "n_words", "spans", "items"],
-            )
 
-    rest = df.drop("n_words", "spans", "items")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema)}, n_words long, spans array<long>, items array<long>"
-    return df.mapInArrow(make, schema)
+def _several(benchmark: DataFrame, block_words: int) -> tuple[list[tuple[int, list[bytes]]], bool]:
+    """The first block of items, and whether there are more."""
+    blocks = item_blocks(benchmark, block_words)
+    return next(blocks, []), next(blocks, None) is not None
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -194,20 +179,82 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+FOUND = "spans array<long>, items array<long>"
+
+
+def block_hits(texts: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """digest, spans and items of every text (text, digest) that holds a window of any block.
+
+    The blocks take their turns over all texts: one automaton, one broadcast and one worker for a core at a time. Only
+    texts that are hit leave a row.
+    """
+    out = None
+    for block in item_blocks(benchmark, block_words):
+        shipped = texts.sparkSession.sparkContext.broadcast(block)
+
+        def make(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(shipped.value, window)
+            for batch in common.sliced(batches):
+                rows = {}
+                for text, key in zip(common.texts(batch), common.column(batch, "digest"), strict=True):
+                    spans, items = automaton.match(common.plain_words(text))
+                    if spans:
+                        rows[key] = ([x for s in spans for x in s], sorted(items))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(rows), pa.binary()), *[pa.array([r[k] for r in rows.values()], pa.list_(pa.int64())) for k in (0, 1)]],
+                    ["digest", "spans", "items"],
+                )
+
+        part = common.staged(texts.select("text", "digest").mapInArrow(make, f"digest binary, {FOUND}").dropDuplicates(["digest"]), "hits")
+        shipped.unpersist()
+        out = part if out is None else out.union(part)
+    lists = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    return common.staged(out.groupBy("digest").agg(lists("spans"), lists("items")), "hits")
+
+
+def _with_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows (with a digest) and what the blocks found in their texts; few hits are broadcast, by their summed size."""
+    size = hits.agg(F.coalesce(F.sum(F.size("spans") + F.size("items") + 4), F.lit(0))).first()[0]
+    return rows.join(F.broadcast(hits) if size <= BROADCAST_NUMBERS else hits, "digest", "left")
+
+
+def _flat(spans: list[int] | None) -> list[int]:
+    return merged(list(zip(spans[::2], spans[1::2], strict=True))) if spans else []
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text (as bytes), n_words, spans of hit words (flat: start, end, ...) and the items that hit.
 
     Null texts have no words; repeated rows each give a row; an item without words has no window. Items beyond
-    `block_words` are matched in further passes, each with its own automaton, so no broadcast exceeds that bound by
-    more than one item.
+    `block_words` take further passes, each with its own automaton, so no broadcast exceeds that bound by more than one
+    item; their hits, keyed by a digest of the text, are then joined to the rows.
     """
-    found = common.id_and_text(docs)
-    empty = F.array().cast("array<long>")
-    blocks = list(item_blocks(benchmark, block_words)) or [[]]
-    found = found.withColumns({"n_words": F.lit(0).cast("long"), "spans": empty, "items": empty})
-    for block in blocks:
-        found = _scan(found, block, window)
-    return found
+    rows = common.id_and_text(docs)
+    block, several = _several(benchmark, block_words)
+    if several:
+        keyed = rows.withColumn("digest", F.unhex(F.md5("text")))
+        rows = _with_hits(keyed, block_hits(keyed.where("text is not null"), benchmark, window, block_words)).select("doc_id", "text", "spans", "items")
+    shipped = docs.sparkSession.sparkContext.broadcast([] if several else block)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None if several else _automaton(shipped.value, window)
+        for batch in common.sliced(batches):
+            words = [common.plain_words(t) for t in common.texts(batch)]
+            if several:
+                spans = [_flat(s) for s in common.column(batch, "spans")]
+                items = [sorted(set(x or ())) for x in common.column(batch, "items")]
+            else:
+                got = [automaton.match(w) for w in words]
+                spans, items = [[x for s in a for x in s] for a, _ in got], [sorted(b) for _, b in got]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()),
+                    pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())),
+                ],
+                ["doc_id", "text", "n_words", "spans", "items"],
+            )
+
+    return rows.mapInArrow(make, f"doc_id long, text binary, n_words long, {FOUND}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -240,47 +287,79 @@ def cut_spans(text: bytes, spans: list[int]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
+def _cut(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> tuple[DataFrame, list[str]]:
+    """Columns _0, _1, ... of the documents, the text among them as bytes without any window, and `cut` and `words`: how
+    many words went and how many there were.
+
+    Cutting can join two halves of an item, of whatever block, so all spans of all blocks are cut and what was cut is
+    looked at again until nothing is left. Rows that nothing was cut from are done.
+    """
+    names = docs.columns
+    at = names.index("text")
+    rows = docs.select(
+        *[(F.col(f"`{n}`").cast("binary") if i == at else F.col(f"`{n}`")).alias(f"_{i}") for i, n in enumerate(names)],
+        F.lit(0).cast("long").alias("cut"), F.lit(None).cast("long").alias("words"),
+    )
+    own = rows.columns
+    block, several = _several(benchmark, block_words)
+    shipped = docs.sparkSession.sparkContext.broadcast([] if several else block)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None if several else _automaton(shipped.value, window)
+        for batch in common.sliced(batches):
+            fresh, cuts, sizes = [], [], []
+            found = common.column(batch, "spans") if several else [None] * batch.num_rows
+            for text, cut, had, spans in zip(*(common.column(batch, c) for c in (f"_{at}", "cut", "words")), found, strict=True):
+                words = common.plain_words(text or b"")
+                sizes.append(len(words) if had is None else had)
+                spans = _flat(spans) if several else [x for s in automaton.match(words)[0] for x in s]
+                while spans:
+                    cut += sum(spans[1::2]) - sum(spans[::2])
+                    text = cut_spans(text, spans)
+                    spans = [] if several else [x for s in automaton.match(common.plain_words(text))[0] for x in s]
+                fresh.append(text)
+                cuts.append(cut)
+            new = {f"_{at}": pa.array(fresh, pa.binary()), "cut": pa.array(cuts, pa.int64()), "words": pa.array(sizes, pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else common.own(batch, n) for n in own], own)
+
+    if not several:
+        return rows.mapInArrow(make, rows.schema), names
+    done, left = None, rows
+    while True:
+        keyed = left.withColumn("digest", F.unhex(F.md5(f"_{at}")))
+        texts = keyed.where(F.col(f"_{at}").isNotNull()).select(F.col(f"_{at}").alias("text"), "digest")
+        hit = _with_hits(keyed, block_hits(texts, benchmark, window, block_words)).drop("digest", "items")
+        same = hit.where("spans is null").mapInArrow(make, rows.schema)
+        done = same if done is None else done.union(same)
+        left = common.staged(hit.where("spans is not null").mapInArrow(make, rows.schema), "cut")
+        if left.isEmpty():
+            return done, names
+
+
+def _named(names: list[str]) -> list[F.Column]:
+    return [(F.col(f"_{i}").cast("string") if n == "text" else F.col(f"_{i}")).alias(n) for i, n in enumerate(names)]
+
+
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """doc_id, text without test items, coverage, dropped: what the pipeline uses.
+    """The documents' columns with texts without test items, and `__coverage` and `__dropped`.
 
     Spans of at least the window (or of a whole shorter item) are cut; a document with more than `max_coverage` of its
-    words hit is marked to be dropped. Cutting can join two halves of an item, so a block is cut until nothing is left.
+    words hit is marked to be dropped. Documents must not have columns of these two names; `purified` adds none.
     """
-    spark = docs.sparkSession
-    keep = [f.name for f in docs.schema if f.name not in ("text",)]
-    named = {n: f"_{i}" for i, n in enumerate(keep)}
-    out = docs.select(
-        *[F.col(f"`{n}`").alias(a) for n, a in named.items()],
-        F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("words"),
-    )
-    for block in list(item_blocks(benchmark, block_words)) or [[]]:
-        shipped = spark.sparkContext.broadcast(block)
+    rows, names = _cut(docs, benchmark, window, block_words)
+    return rows.select(*_named(names), coverage().alias("__coverage")).withColumn("__dropped", F.col("__coverage") > max_coverage)
 
-        def make(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shipped.value, window)
-            for batch in common.sliced(batches):
-                names = batch.schema.names
-                fresh, cuts, sizes = [], [], []
-                raw = common.column(batch, "text")
-                for text, cut, had in zip(raw, common.column(batch, "cut"), common.column(batch, "words"), strict=True):
-                    words = common.plain_words(text or b"")
-                    sizes.append(max(had, len(words)))
-                    while spans := [x for s in automaton.match(words)[0] for x in s]:
-                        cut += sum(spans[1::2]) - sum(spans[::2])
-                        text = cut_spans(text, spans)
-                        words = common.plain_words(text)
-                    fresh.append(text)
-                    cuts.append(cut)
-                arrays = dict(zip(names, batch.columns, strict=True)) | {
-                    "text": pa.array(fresh, pa.binary()), "cut": pa.array(cuts, pa.int64()), "words": pa.array(sizes, pa.int64()),
-                }
-                yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
-
-        out = out.mapInArrow(make, out.schema)
-    return out.select(
-        *[F.col(a).alias(n) for n, a in named.items()],
-        F.col("text").cast("string").alias("text"),
-        (F.col("cut") / F.greatest(F.col("words"), F.lit(1))).alias("__coverage"),
-    ).withColumn("__dropped", F.col("__coverage") > max_coverage)
+
+def purified(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS
+) -> DataFrame:
+    """The documents' own columns, whatever their names, without test items in the texts and without documents that
+    consist of them for more than `max_coverage` of their words: what the pipeline uses."""
+    rows, names = _cut(docs, benchmark, window, block_words)
+    return rows.where(coverage() <= max_coverage).select(*_named(names))
+
+
+def coverage() -> F.Column:
+    return F.col("cut") / F.greatest(F.col("words"), F.lit(1))

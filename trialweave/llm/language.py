@@ -23,7 +23,8 @@ from trialweave.llm import common
 
 SAMPLE_DOCS = 2_400  # documents, at most, from which the field is learned
 SAMPLE_CHUNKS = 4_000  # stretches of words of those documents, at most, drawn evenly over their lengths
-CHUNK = 128  # words of a stretch: forward-backward runs over stretches, side by side
+CHUNK = 128  # words of a stretch: forward-backward runs over stretches, side by side, and what one ends with enters the next
+PIECE = 24  # characters of the pieces that a longer run of letters is labelled in, as scripts without blanks have them
 BUCKETS = 1 << 15  # weights of hashed features
 LEXICON = 4_000  # words that have a feature of their own
 CACHED = 400_000  # words whose scores a worker keeps
@@ -34,7 +35,18 @@ _workers: dict = {}
 
 
 def lower_words(text: bytes) -> list[bytes]:
-    return common.plain_words(text)
+    """The words of a text; a run of more than PIECE characters as consecutive pieces, none left out."""
+    words = common.plain_words(text)
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    out = []
+    for w in words:
+        if len(w) <= PIECE:
+            out.append(w)
+        else:
+            chars = w.decode("utf-8", "replace")
+            out += [chars[k : k + PIECE].encode() for k in range(0, len(chars), PIECE)]
+    return out
 
 
 @dataclass
@@ -48,7 +60,7 @@ class Field:
     move: np.ndarray
 
     def features(self, word: bytes) -> list[int]:
-        w = b"^" + word[:40] + b"$"
+        w = b"^" + word + b"$"
         grams = {w[k : k + n] for n in (2, 3) for k in range(len(w) - n + 1)}
         grams |= {b"p" + w[:4], b"p" + w[:5], b"s" + w[-4:], b"s" + w[-5:]}
         out = [zlib.crc32(g) % BUCKETS for g in grams]
@@ -56,10 +68,14 @@ class Field:
         return [*out, BUCKETS + known] if known is not None else out
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(
+    emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals (sequences, words, labels), summed transition expectations and log normalisers.
 
-    emit are scores, mask marks the words that there are; each sequence's words stand at its beginning.
+    emit are scores, mask marks the words that there are; each sequence's words stand at its beginning. A sequence that is
+    a stretch of a longer one has in `enter` what comes into its first word in place of exp(start), and in `leave` what
+    the words behind it say of its last.
     """
     n, steps, k = emit.shape
     top = emit.max(2, keepdims=True)
@@ -67,7 +83,7 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move
     m = np.exp(move)
     alpha = np.zeros_like(e)
     scale = np.ones((n, steps), e.dtype)
-    a = np.exp(start) * e[:, 0]
+    a = (np.exp(start) if enter is None else enter.astype(e.dtype)) * e[:, 0]
     scale[:, 0] = a.sum(1)
     alpha[:, 0] = a / scale[:, :1]
     for t in range(1, steps):
@@ -76,14 +92,14 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move
         on = mask[:, t]
         scale[:, t] = np.where(on, s, 1)
         alpha[:, t] = np.where(on[:, None], a / np.where(s > 0, s, 1)[:, None], alpha[:, t - 1])
-    beta = np.ones((n, k), e.dtype)
+    beta = np.ones((n, k), e.dtype) if leave is None else leave.astype(e.dtype)
     marginal = np.zeros_like(e)
-    marginal[:, steps - 1] = alpha[:, steps - 1]
+    marginal[:, steps - 1] = alpha[:, steps - 1] * beta
     pairs = np.zeros((k, k))
     for t in range(steps - 1, 0, -1):
         on = mask[:, t]
         inner = e[:, t] * beta / scale[:, t : t + 1]
-        if on.any():
+        if leave is None and on.any():
             pairs += (alpha[:, t - 1] * on[:, None]).T @ inner * m
         beta = np.where(on[:, None], inner @ m.T, beta)
         marginal[:, t - 1] = alpha[:, t - 1] * beta
@@ -92,6 +108,37 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move
     return marginal * mask[:, :, None], pairs, log_z
 
 
+def transfers(emit: np.ndarray, mask: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """(sequences, labels, labels): what each sequence makes of a weight that comes into its first word's label, by the
+    label of its last word; rescaled, as only proportions matter."""
+    n, steps, k = emit.shape
+    e = np.exp(emit - emit.max(2, keepdims=True))
+    m = np.exp(move)
+    out = np.eye(k, dtype=e.dtype)[None] * e[:, 0][:, None, :]
+    for t in range(1, steps):
+        new = (out.reshape(n * k, k) @ m).reshape(n, k, k) * e[:, t][:, None, :]
+        new /= np.maximum(new.max((1, 2), keepdims=True), 1e-30)
+        out = np.where(mask[:, t][:, None, None], new, out)
+    return out
+
+
+def carried(steps: list[np.ndarray], last: list[bool], start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """enter and leave of consecutive stretches by their transfers; `last` marks the stretches that end a text."""
+    m = np.exp(move.astype(np.float64))
+    k = len(m)
+    enter, leave = np.empty((len(steps), k)), np.ones((len(steps), k))
+    come = np.exp(start.astype(np.float64))
+    for j, t in enumerate(steps):
+        enter[j] = come
+        go = come @ t
+        come = np.exp(start.astype(np.float64)) if last[j] else (go / max(go.sum(), 1e-300)) @ m
+    for j in range(len(steps) - 2, -1, -1):
+        if not last[j]:
+            back = m @ (steps[j + 1] @ leave[j + 1])
+            leave[j] = back / max(back.sum(), 1e-300)
+    return enter, leave
+
+
 def learn_field(rows: list[tuple[bytes, str]], epochs: int = 4, batch: int = 64, rate: float = 0.08, seed: int = 5) -> Field | None:
     """Fits the field to texts with one label each: gradient steps (Adam) on the log-likelihood of the words' labels.
 
@@ -191,41 +238,64 @@ class Labeller:
             ids[missing] = [self.known[words[j]] for j in missing.tolist()]
         return ids
 
-    def marginals(self, docs: list[list[bytes]], at_once: int = 1024) -> np.ndarray:
-        """For each document, the sum of its words' language probabilities, each word weighed by its length."""
+    def labelled(self, docs: list[list[bytes]], at_once: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """The probabilities of all words of all documents, one after the other, and the number of each word's document.
+
+        Texts are cut into stretches that run side by side; the transfer of each stretch tells what enters the next one, so
+        the chain runs over whole texts, however long.
+        """
         k = len(self.model.langs)
         if len(self.known) > CACHED:
             self.known.clear()
         words = [w for d in docs for w in d]
-        out = np.zeros((len(docs), k))
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        out = np.zeros((len(words), k), np.float32)
         if not words:
-            return out
+            return out, np.zeros(0, np.int64)
         ids = self.ids(words)
-        weight = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 12)
-        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        start, move = self.model.start, self.model.move
         of = np.repeat(np.arange(len(docs)), -(-sizes // CHUNK))
         begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         first = np.concatenate([np.arange(b, b + s, CHUNK) for b, s in zip(begins.tolist(), sizes.tolist(), strict=True)])
         length = np.minimum(CHUNK, (begins + sizes)[of] - first)
+        last = np.append(of[1:] != of[:-1], True)
+        part = np.flatnonzero(~last | np.append(False, ~last[:-1]))  # stretches of texts of several
+        enter = np.broadcast_to(np.exp(start.astype(np.float64)), (len(first), k)).copy()
+        leave = np.ones((len(first), k))
+
+        def spots(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            mask = np.arange(int(length[rows].max())) < length[rows][:, None]
+            return np.where(mask, first[rows][:, None] + np.arange(mask.shape[1]), 0), mask
+
+        if len(part):
+            steps = np.empty((len(part), k, k))
+            order = np.argsort(length[part], kind="stable")
+            for a in range(0, len(order), at_once):
+                rows = order[a : a + at_once]
+                spot, mask = spots(part[rows])
+                steps[rows] = transfers(self.table[ids[spot]], mask, move)
+            enter[part], leave[part] = carried(list(steps), last[part].tolist(), start, move)
         order = np.argsort(length, kind="stable")
         for a in range(0, len(order), at_once):
             rows = order[a : a + at_once]
-            steps = int(length[rows].max())
-            spot = first[rows][:, None] + np.arange(steps)
-            mask = np.arange(steps) < length[rows][:, None]
-            spot = np.where(mask, spot, 0)
-            got, _, _ = forward_backward(self.table[ids[spot]], mask, self.model.start, self.model.move)
-            np.add.at(out, of[rows], (got * weight[spot][:, :, None]).sum(1))
-        return out
+            spot, mask = spots(rows)
+            got, _, _ = forward_backward(self.table[ids[spot]], mask, start, move, enter[rows], leave[rows])
+            out[spot[mask]] = got[mask]
+        return out, np.repeat(np.arange(len(docs)), sizes)
+
+    def marginals(self, docs: list[list[bytes]]) -> np.ndarray:
+        """For each document, the sum of its words' language probabilities, each word weighed by its length."""
+        got, of = self.labelled(docs)
+        weight = np.fromiter((min(len(w), 12) for d in docs for w in d), np.float64, len(got))
+        return np.stack([np.bincount(of, got[:, j] * weight, len(docs)) for j in range(got.shape[1])], 1)
 
 
 def learn(docs: DataFrame, rows: int = SAMPLE_DOCS) -> Field | None:
     """From at most `rows` labelled documents outside the held-out fold, taken in the order of a hash of their ids."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~common.fold_is(F.col("doc_id"), FOLDS, HELD_OUT))
-    ids = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = usable.select("doc_id", F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), "doc_id")
-    got = sorted((r.doc_id, bytes(r.text), r.lang) for r in chosen.limit(2 * rows).toLocalIterator())
-    return learn_field([(t, lang) for _, t, lang in got])
+    ids = usable.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    plain = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return learn_field([(bytes(r.text), r.lang) for r in common.bounded_texts(plain, ids, rows)])
 
 
 def languages(docs: DataFrame, rows: int = SAMPLE_DOCS) -> DataFrame:

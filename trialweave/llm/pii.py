@@ -23,10 +23,14 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from trialweave.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 2  # turns of scoring patterns from instances and instances from patterns
+ROUNDS = 20  # turns of scoring patterns from instances and instances from patterns, at most: they end once nothing changes
 LEAST_INSTANCES = 5  # distinct instances of a pattern
 LEAST_CONFIDENCE = 0.6
 BROADCAST_PATTERNS = 200_000  # patterns of less than 100 bytes up to which they are sent to all workers; beyond it they are joined
+BROADCAST_CONTEXTS = 200_000  # contexts whose words without digits are gathered in one pass over the documents
+BROADCAST_INSTANCES = 1_000_000  # scored instances, of 20 bytes, up to which they are broadcast
+SHAPE_BYTES, CONTEXT_BYTES = 24, 32  # longer shapes and contexts are named by a digest
+CACHED = 300_000  # words of which a worker remembers whether they are a context
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -95,6 +99,11 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
+def _short(name: bytes, most: int) -> bytes:
+    """The name, a long one by its beginning, a digest and its last byte: nothing that differs becomes equal."""
+    return name if len(name) <= most else name[:6] + b"~" + hashlib.blake2b(name, digest_size=8).hexdigest().encode() + name[-1:]
+
+
 def shape(token: bytes) -> bytes:
     """Runs of letters, digits and both as a, 9 and x; other characters stay. Long mixed runs are marked."""
 
@@ -104,11 +113,29 @@ def shape(token: bytes) -> bytes:
         kind = b"9" if d == len(r) else b"x" if d else b"a"
         return kind + (b"+" if len(r) >= 12 else b"")
 
-    return re.sub(rb"[A-Za-z0-9\x80-\xff]+", run, token)[:24]
+    return _short(re.sub(rb"[A-Za-z0-9\x80-\xff]+", run, token), SHAPE_BYTES)
+
+
+class Contexts(dict):
+    """Word to whether it is one of some contexts, remembered by the word as it stands; `begins` is true where the
+    beginning of a text is a context, and without contexts given every word is one."""
+
+    def __init__(self, contexts: frozenset[bytes] | None):
+        self.contexts, self.begins = contexts, contexts is None or b"^" in contexts
+
+    def __missing__(self, word: bytes) -> bool:
+        if len(self) >= CACHED:
+            self.clear()
+        known = self[word] = self.contexts is None or _clean(word) in self.contexts
+        return known
+
 
+NO_CONTEXTS = Contexts(frozenset())
 
-def candidates(text: bytes) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...]]]:
-    """Tokens with digits, seeds, and what follows a key: (start, end, instance, patterns).
+
+def candidates(text: bytes, contexts: Contexts = NO_CONTEXTS) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...], bool]]:
+    """Tokens with digits, seeds, what follows a key, and what follows a context: (start, end, instance, patterns, is it a
+    candidate by its context alone).
 
     A key before "=" or ":" belongs to the context, as do quotes: `password="x1"` is the instance x1 after "password=".
     The patterns are the context on the left alone, with the shape, with the context on the right too, and for long
@@ -119,18 +146,18 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...]
         places += [a for a, _ in emails(text)]
     if b"=" in text or b":" in text:
         places += [m.end() for m in _AFTER_KEY.finditer(text)]
-    if not places:
+    after: set[int] = set()
+    if contexts.begins or contexts.contexts:
+        after = {k + 1 for k, known in enumerate(map(contexts.__getitem__, text.split())) if known}
+        if contexts.begins:
+            after.add(0)
+    if not places and not after:
         return
-    places.sort()
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts = [a for a, _ in tokens]
-    seen = -1
-    for place in places:
-        if place < seen:
-            continue
-        k = bisect_right(starts, place) - 1
+    after.discard(len(tokens))
+    for k in sorted({bisect_right(starts, p) - 1 for p in places} | after):
         a, b = tokens[k]
-        seen = b
         raw = text[a:b]
         left = _clean(text[slice(*tokens[k - 1])]) if k else b"^"
         before = _clean(text[slice(*tokens[k - 2])]) if k > 1 else b"^"
@@ -138,25 +165,28 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, bytes, tuple[bytes, ...]
         key = _KEY.match(raw)
         keyed = True
         if key and key.end() < len(raw):
-            left, a, raw = key[0].lower(), a + key.end(), raw[key.end() :]
+            left, a, raw = _short(key[0].lower(), CONTEXT_BYTES), a + key.end(), raw[key.end() :]
         elif left in (b"=", b":"):
-            left = before + left
+            left = _short(before + left, CONTEXT_BYTES)
         else:
             keyed = left[-1:] in (b"=", b":")
         head = len(raw) - len(raw.lstrip(_STRIP))
         core = raw.strip(_STRIP)
-        if not core or not (keyed or b"@" in core or _DIGIT.search(core)):
+        if not core:
+            continue
+        told = keyed or b"@" in core or bool(_DIGIT.search(core))
+        if not told and k not in after:
             continue
         a += head
         if core in _PLACEHOLDERS and text[a - 1 : a] == b"<":
             continue
         s = shape(core)
         forms = [(left, b"*", b"*"), (left, s, b"*"), (left, s, right)] + [(b"*", s, b"*")] * (b"x+" in s)
-        yield a, a + len(core), core, tuple(b"\x1f".join(x) for x in forms)
+        yield a, a + len(core), core, tuple(b"\x1f".join(x) for x in forms), not told
 
 
 def _clean(token: bytes) -> bytes:
-    return (token.strip(b"\"'`.,;!?()[]{}<>#%*$&|").lower() or token)[:32]
+    return _short(token.strip(b"\"'`.,;!?()[]{}<>#%*$&|").lower() or token, CONTEXT_BYTES)
 
 
 def _seed(a: int, b: int, core: bytes, spans: list[tuple[str, int, int]]) -> int:
@@ -170,15 +200,22 @@ def _seed(a: int, b: int, core: bytes, spans: list[tuple[str, int, int]]) -> int
 FOUND_KINDS = (*KINDS, "secret")
 
 
-def pattern_instances(docs: DataFrame) -> DataFrame:
-    """The graph's edges over all documents: pattern, instance (as a hash) and the kind of seed that it is, if one."""
+def pattern_instances(docs: DataFrame, contexts: frozenset[bytes] = frozenset()) -> DataFrame:
+    """The graph's edges over all documents: pattern, instance (as a hash) and the kind of seed that it is, if one.
+
+    With contexts, only those of the tokens that are candidates by one of these alone.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(contexts)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Contexts(shipped.value)
         for batch in common.sliced(batches):
             edges: dict[tuple[bytes, int], int] = {}
             for text in common.texts(batch):
                 spans = None
-                for a, b, core, patterns in candidates(text):
+                for a, b, core, patterns, alone in candidates(text, known):
+                    if alone != bool(known.contexts):
+                        continue
                     spans = base_spans(text) if spans is None else spans
                     seed = _seed(a, b, core, spans)
                     instance = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
@@ -194,44 +231,97 @@ def pattern_instances(docs: DataFrame) -> DataFrame:
     return df.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind, confidence, instances: both sides of the graph scored in turns, seeds at 1 throughout.
+    """pattern, kind, confidence, instances: both sides of the graph scored in turns until the patterns above the
+    thresholds and their confidences stay, seeds at 1 throughout.
 
     A pattern's confidence is the mean score of its instances for its best kind, with one unknown instance added; an
-    instance takes the confidence of its best pattern.
+    instance takes the confidence of its best pattern. Instances without a score ("1", a year) never enter a join, and
+    patterns with too few instances leave the graph at once; both sides of a join that are few are broadcast.
     """
-    seeds = edges.groupBy("instance").agg(F.max("seed").alias("kind")).withColumn("score", (F.col("kind") > 0).cast("double"))
-    scores = seeds
-    for turn in range(rounds):
-        sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in range(1, len(FOUND_KINDS) + 1)]
-        by = edges.select("pattern", "instance").join(scores, "instance").groupBy("pattern").agg(F.count("*").alias("instances"), *sums)
-        best = F.greatest(*[F.col(f"s{k}") for k in range(1, len(FOUND_KINDS) + 1)])
-        kind = F.coalesce(*[F.when(F.col(f"s{k}") == best, F.lit(k)) for k in range(1, len(FOUND_KINDS) + 1)])
-        patterns = by.select("pattern", "instances", kind.alias("kind"), (best / (F.col("instances") + 1)).alias("confidence"))
-        patterns = patterns.where((F.col("instances") >= LEAST_INSTANCES) & (F.col("confidence") >= LEAST_CONFIDENCE))
-        if turn + 1 < rounds:
-            reached = (
-                edges.select("pattern", "instance")
-                .join(patterns.select("pattern", F.col("kind").alias("by_kind"), "confidence"), "pattern")
-                .groupBy("instance")
-                .agg(F.max(F.struct("confidence", "by_kind")).alias("best"))
-            )
-            scores = seeds.join(reached, "instance", "left").select(
-                "instance",
-                F.when(F.col("kind") > 0, F.col("kind")).otherwise(F.coalesce("best.by_kind", F.lit(0))).alias("kind"),
-                F.when(F.col("kind") > 0, F.lit(1.0)).otherwise(F.coalesce("best.confidence", F.lit(0.0))).alias("score"),
-            )
+    seeds = edges.groupBy("instance").agg(F.max("seed").alias("kind")).where("kind > 0").withColumn("score", F.lit(1.0))
+    seeds = common.staged(seeds, "seeds")
+    sizes = common.staged(edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_INSTANCES), "sizes")
+    useful = common.staged(edges.select("pattern", "instance").join(_small(sizes, BROADCAST_INSTANCES), "pattern"), "edges")
+    numbers = range(1, len(FOUND_KINDS) + 1)
+    scores, before, patterns = seeds, None, None
+    for _ in range(rounds):
+        sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in numbers]
+        by = useful.join(_small(scores, BROADCAST_INSTANCES), "instance").groupBy("pattern").agg(F.max("instances").alias("instances"), *sums)
+        best = F.greatest(*[F.col(f"s{k}") for k in numbers])
+        kind = F.coalesce(*[F.when(F.col(f"s{k}") == best, F.lit(k)) for k in numbers])
+        found = by.select("pattern", "instances", kind.alias("kind"), (best / (F.col("instances") + 1)).alias("confidence"))
+        patterns = common.staged(found.where(F.col("confidence") >= LEAST_CONFIDENCE), "scored")
+        state = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
+        if before is not None and state[0] == before[0] and abs(state[1] - before[1]) <= 1e-9 * max(1, state[0]):
+            break
+        before = state
+        reached = (
+            useful.select("pattern", "instance")
+            .join(_small(patterns.select("pattern", F.col("kind").alias("by_kind"), "confidence"), BROADCAST_PATTERNS), "pattern")
+            .groupBy("instance")
+            .agg(F.max(F.struct("confidence", "by_kind")).alias("best"))
+            .join(seeds.select("instance"), "instance", "left_anti")
+            .select("instance", F.col("best.by_kind").alias("kind"), F.col("best.confidence").alias("score"))
+        )
+        scores = common.staged(seeds.union(reached), "scores")
     return patterns
 
 
-def learn_patterns(docs: DataFrame) -> DataFrame:
-    """pattern, kind: all patterns of high confidence."""
-    edges = common.staged(pattern_instances(docs), "patterns")
-    return common.staged(scored_patterns(edges).select("pattern", "kind"), "learned")
+def _left(pattern: bytes) -> bytes:
+    return pattern.split(b"\x1f", 1)[0]
+
+
+def _with_left(patterns: DataFrame) -> DataFrame:
+    """pattern, kind and left, the context on the left."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_left(p) for p in batch.column(0).to_pylist()], pa.binary())], ["pattern", "kind", "left"])
+
+    return patterns.select("pattern", "kind").mapInArrow(make, "pattern binary, kind int, left binary")
 
 
-def _named(rows: list) -> dict[bytes, str]:
-    return {bytes(r["pattern"]): FOUND_KINDS[r["kind"] - 1] for r in rows}
+def learn_patterns(docs: DataFrame) -> DataFrame:
+    """pattern, kind, free: all patterns of high confidence; `free` ones also find words without digits.
+
+    Patterns of tokens with digits, seeds and keys come first. In the contexts that these have, all other words are
+    gathered as instances too, and both together are scored anew: a context that mostly ordinary words follow falls.
+    """
+    edges = common.staged(pattern_instances(docs), "patterns")
+    first = _with_left(scored_patterns(edges)).where(F.col("left") != F.lit(b"*"))
+    contexts = common.staged(first.select("left").distinct(), "contexts")
+    blocks = -(-contexts.count() // BROADCAST_CONTEXTS)
+    for block in range(blocks):
+        some = contexts.where(F.pmod(F.xxhash64("left"), F.lit(blocks)) == block)
+        words = frozenset(bytes(r[0]) for r in some.toLocalIterator())
+        edges = edges.union(common.staged(pattern_instances(docs, words), "patterns"))
+    scored = _with_left(scored_patterns(edges))
+    free = contexts.withColumn("free", F.lit(True))
+    return common.staged(scored.join(free, "left", "left").select("pattern", "kind", F.coalesce("free", F.lit(False)).alias("free")), "learned")
+
+
+class Learned(dict):
+    """Pattern to kind, and the contexts in which words without digits count."""
+
+    def __init__(self, rows: list):
+        super().__init__((bytes(r["pattern"]), FOUND_KINDS[r["kind"] - 1]) for r in rows)
+        self.free = frozenset(_left(bytes(r["pattern"])) for r in rows if r["free"])
+        self.contexts = Contexts(self.free)
+
+    def __reduce__(self):
+        return _learned, (dict(self), self.free)
+
+
+def _learned(kinds: dict[bytes, str], free: frozenset[bytes]) -> Learned:
+    out = Learned([])
+    out.update(kinds)
+    out.free, out.contexts = free, Contexts(free)
+    return out
 
 
 def with_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
@@ -239,23 +329,24 @@ def with_patterns(rows: DataFrame, text: str, patterns: DataFrame) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
-            found = {(k, p) for k, t in zip(common.column(batch, "__key"), common.texts(batch), strict=True) for *_, of in candidates(t) for p in of}
+            every = Contexts(None)
+            found = {(k, p) for k, t in zip(common.column(batch, "__key"), common.texts(batch), strict=True) for _, _, _, of, _ in candidates(t, every) for p in of}
             cols = list(zip(*sorted(found), strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["__key", "pattern"])
 
     keyed = rows.withColumn("__key", F.xxhash64(text))
     stand = keyed.select("__key", F.col(text).alias("text")).mapInArrow(make, "__key long, pattern binary").distinct()
-    own = stand.join(patterns, "pattern").groupBy("__key").agg(F.collect_list(F.struct("pattern", "kind")).alias("__patterns"))
+    own = stand.join(patterns, "pattern").groupBy("__key").agg(F.collect_list(F.struct("pattern", "kind", "free")).alias("__patterns"))
     return keyed.join(own, "__key", "left").drop("__key")
 
 
-def found_spans(text: bytes, patterns: dict[bytes, str]) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def found_spans(text: bytes, patterns: Learned) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and those that patterns add beside them, both in bytes."""
     base = base_spans(text)
     if not patterns:
         return base, []
     taken, more = sorted((s, e) for _, s, e in base), []
-    for a, b, _, of in candidates(text):
+    for a, b, _, of, _ in candidates(text, patterns.contexts):
         kind = next((patterns[p] for p in reversed(of) if p in patterns), None)
         if kind and not any(a < e and s < b for s, e in taken):
             more.append((kind, a, b))
@@ -285,12 +376,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """
     learned = learn_patterns(docs)
     joined = learned.count() > BROADCAST_PATTERNS
-    shipped = docs.sparkSession.sparkContext.broadcast({} if joined else _named(learned.collect()))
+    shipped = docs.sparkSession.sparkContext.broadcast(Learned([] if joined else learned.collect()))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             out: list[list] = [[] for _ in range(7)]
-            own = map(_named, (x or [] for x in common.column(batch, "__patterns"))) if joined else repeat(shipped.value)
+            own = map(Learned, (x or [] for x in common.column(batch, "__patterns"))) if joined else repeat(shipped.value)
             for text, patterns in zip(common.texts(batch), own, strict=joined):
                 base, more = found_spans(text, patterns)
                 row = [sum(k == kind for k, _, _ in base) for kind in KINDS]
@@ -307,7 +398,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return (with_patterns(rows, "text", learned) if joined else rows).mapInArrow(make, SCHEMA)
 
 
-def redacted_once(text: bytes, patterns: dict[bytes, str]) -> bytes | None:
+def redacted_once(text: bytes, patterns: Learned) -> bytes | None:
     """The text with a placeholder in the place of each run of overlapping spans; None where nothing is found."""
     base, more = found_spans(text, patterns)
     if not base and not more:
@@ -320,7 +411,7 @@ def redacted_once(text: bytes, patterns: dict[bytes, str]) -> bytes | None:
     return b"".join([*out, text[last:]])
 
 
-def redacted_text(text: bytes, patterns: dict[bytes, str]) -> bytes:
+def redacted_text(text: bytes, patterns: Learned) -> bytes:
     """The text redacted until nothing is found any more."""
     while (new := redacted_once(text, patterns)) is not None:
         text = new
@@ -331,7 +422,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data in `text` replaced by placeholders; null texts and other columns stay."""
     learned = learn_patterns(docs)
     joined = learned.count() > BROADCAST_PATTERNS
-    shipped = docs.sparkSession.sparkContext.broadcast({} if joined else _named(learned.collect()))
+    shipped = docs.sparkSession.sparkContext.broadcast(Learned([] if joined else learned.collect()))
     names = [f.name for f in docs.schema]
     inner = docs.select(*[F.col(f"`{n}`").cast("binary").alias(f"_{i}") if n == "text" else F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)])
     at = names.index("text")
@@ -345,7 +436,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
             old, own = batch.column(at).to_pylist(), common.column(batch, "__patterns")
-            new = [None if t is None else redacted_once(t, _named(x or [])) for t, x in zip(old, own, strict=True)]
+            new = [None if t is None else redacted_once(t, Learned(x or [])) for t, x in zip(old, own, strict=True)]
             texts = pa.array([t if n is None else n for t, n in zip(old, new, strict=True)], pa.binary())
             columns = [texts if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([n is not None for n in new], pa.bool_())], [*batch.schema.names[: len(names)], "__open"])

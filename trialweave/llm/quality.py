@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from trialweave.llm import common
 
@@ -158,7 +159,7 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, least: int = 3, most: int = 24) -> list[Rule]:
-    """Sequential covering: rules in order, each accepted if it is precise on the rows held back and on all left."""
+    """Sequential covering: rules in order, each accepted if it is precise on the rows held back, which it was not grown on."""
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     fold = np.arange(len(bad)) % 3
@@ -172,7 +173,8 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.97, le
         if hold.any():
             rule = _prune(rule, {k: v[hold] for k, v in x.items()}, bad[hold])
         c = rule.covers(x) & left
-        if bad[c].sum() < least or bad[c].mean() < precision:
+        unseen = c & hold
+        if bad[c].sum() < least or not unseen.any() or bad[unseen].mean() < precision:
             break
         rules.append(rule)
         left &= ~c
@@ -193,8 +195,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         F.broadcast(sample.select("doc_id")), "doc_id", "left_semi"
     )
-    got = statistics(chosen).limit(2 * rows).toPandas().drop_duplicates(["doc_id", *COUNTS]).merge(sample.toPandas(), on="doc_id")
-    got = got.sort_values(["doc_id", *COUNTS], kind="stable").reset_index(drop=True)
+    found = statistics(chosen).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS, *RATIOS).limit(2 * rows)
+    got = found.toPandas().merge(sample.toPandas(), on="doc_id").sort_values(["doc_id", *COUNTS], kind="stable").reset_index(drop=True)
     got = got.sample(frac=1.0, random_state=7).reset_index(drop=True)
     return learn({k: got[k].to_numpy(float) for k in FEATURES}, got["label"].to_numpy() == 0) if len(got) else []
 
@@ -219,21 +221,22 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
 
 
 def keep(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The documents that are kept, whole rows in their own columns, judged as they stream by: no join, no shuffle.
+    """The documents that are kept, whole rows in their own columns: no join, no shuffle.
 
-    The rules' conditions are those of `rejected`, evaluated on each batch; null texts fail the base rule.
+    Statistics are made as the rows stream by, in columns beside them; the ordered conditional expression of the rules
+    then decides. Null texts fail the base rule.
     """
     names = docs.columns
-    inner = docs.select(*[F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)], F.col("text").cast("binary").alias("text"))
+    at = names.index("text")
+    inner = docs.select(*[(F.col(f"`{n}`").cast("binary") if i == at else F.col(f"`{n}`")).alias(f"_{i}") for i, n in enumerate(names)])
+    kinds = [*[(c, pa.int64(), LongType()) for c in COUNTS], *[(c, pa.float64(), DoubleType()) for c in RATIOS]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
-            rows = [text_statistics(t) for t in common.texts(batch)]
-            x = {n: np.array([r[j] for r in rows], float) for j, n in enumerate((*COUNTS, *RATIOS))}
-            fails = (x["n_words"] < MIN_WORDS) | (100 * x["n_repeat_words"] > MAX_REPEAT_PERCENT * x["n_words"])
-            for rule in rules:
-                fails |= rule.covers(x)
-            yield batch.drop_columns(["text"]).filter(pa.array(~fails))
-
-    out = inner.mapInArrow(make, inner.drop("text").schema)
-    return out.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+            rows = [text_statistics(t) for t in common.texts(batch, f"_{at}")]
+            made = [pa.array([r[j] for r in rows], k) for j, (_, k, _) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *[c for c, _, _ in kinds]])
+
+    schema = StructType([*inner.schema, *[StructField(c, k) for c, _, k in kinds]])
+    out = inner.mapInArrow(make, schema).where(~base_failed() & (rejected(rules) == 0))
+    return out.select(*[(F.col(f"_{i}").cast("string") if i == at else F.col(f"_{i}")).alias(n) for i, n in enumerate(names)])

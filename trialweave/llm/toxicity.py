@@ -161,17 +161,21 @@ class Trees:
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots and the non-decreasing values at them. Equal scores are pooled first."""
+    """Pool adjacent violators: knots and the non-decreasing values at them, the least-squares fit. Equal scores are pooled first.
+
+    A block of pooled scores has a knot at either end, so that every score inside it gets its mean; lines run between blocks.
+    """
     at, inverse = np.unique(raw, return_inverse=True)
-    blocks: list[list[float]] = []  # sum, weight, first knot
+    blocks: list[list[float]] = []  # sum, weight, first knot, last knot
     for k, (s, w) in enumerate(zip(np.bincount(inverse, y), np.bincount(inverse), strict=True)):
-        blocks.append([s, w, k])
+        blocks.append([s, w, k, k])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s2, w2, _ = blocks.pop()
+            s2, w2, _, end = blocks.pop()
             blocks[-1][0] += s2
             blocks[-1][1] += w2
-    firsts = [b[2] for b in blocks]
-    return at[firsts], np.array([(b[0] + 0.02) / (b[1] + 0.04) for b in blocks])
+            blocks[-1][3] = end
+    ends = [(k, b[0] / b[1]) for b in blocks for k in sorted({b[2], b[3]})]
+    return at[[k for k, _ in ends]], np.array([v for _, v in ends])
 
 
 @dataclass
@@ -187,7 +191,7 @@ class Model:
         raw = self.trees.raw(np.array([self.lexicon.features(t) for t in texts], float).reshape(-1, len(FEATURES)))
         calibrated = np.interp(raw, self.knots, self.values)
         # a little of the trees' own order stays, so that rows within one calibrated step differ; 0.5 is never crossed
-        nudged = calibrated + 1e-6 * np.tanh(raw / 10)
+        nudged = np.clip(calibrated, 1e-6, 1 - 1e-6) + 1e-6 * np.tanh(raw / 10)
         return np.clip(np.where((nudged >= 0.5) == (calibrated >= 0.5), nudged, calibrated), 0.0, 1.0)
 
 
@@ -215,12 +219,13 @@ def fit(rows: list[tuple[bytes, int, int]]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """From at most `rows` labelled documents outside the held-out fold, taken in the order of a hash of their ids."""
+    """From at most `rows` labelled documents outside the held-out fold, and `common.SAMPLE_BYTES` of their texts, taken in
+    the order of a hash of their ids."""
     usable = labels.where(F.col("doc_id").isNotNull() & ~common.fold_is(F.col("doc_id"), FOLDS, HELD_OUT))
     sample = common.labelled_sample(usable, "toxic", rows)
-    chosen = common.id_and_text(docs).join(F.broadcast(sample), "doc_id").withColumn("fold", F.pmod(common.id_crc(F.col("doc_id")), F.lit(FOLDS)))
-    got = [(bytes(r.text or b""), int(r.label > 0), int(r.fold), r.doc_id) for r in chosen.limit(2 * rows).toLocalIterator()]
-    return fit([r[:3] for r in sorted(got, key=lambda r: (r[3], r[0]))])
+    sample = sample.withColumn("fold", F.pmod(common.id_crc(F.col("doc_id")), F.lit(FOLDS)))
+    got = [(bytes(r.text or b""), int(r.label > 0), int(r.fold)) for r in common.bounded_texts(common.id_and_text(docs), sample, rows)]
+    return fit(got)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
