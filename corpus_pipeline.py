@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of the benchmark; what consists mostly of them goes."""
-    out = decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), max_coverage=COVERAGE)
-    return _with_length(out.where(~F.col("__dropped")), docs.columns)
+    out = decontamination.purified(docs, common.table(spark, sf_dir, "benchmark"), max_coverage=COVERAGE)
+    return _with_length(out, docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
