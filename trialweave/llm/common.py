@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,30 @@ def fold_is(doc_id, modulus: int, remainder: int) -> F.Column:
     return F.coalesce(F.pmod(id_crc(doc_id), F.lit(modulus)) == remainder, F.lit(False))
 
 
+def one_thread() -> None:
+    """Lets numpy's matrix products of this process use one thread: a task has one core, and waiting threads burn others.
+
+    Workers are forked with numpy loaded, so its library is told by a call; one that has no such call stays as it is.
+    """
+    if _threads:
+        return
+    _threads.append(1)
+    try:
+        with open("/proc/self/maps") as maps:
+            found = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in found:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
+_threads: list[int] = []
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A batch's texts as bytes, null as empty."""
     return [x or b"" for x in batch.column(batch.schema.names.index(name)).to_pylist()]

@@ -122,6 +122,14 @@ class Contexts(dict):
 
     def __init__(self, contexts: frozenset[bytes] | None):
         self.contexts, self.begins = contexts, contexts is None or b"^" in contexts
+        # few contexts are looked for as they are before a text is taken apart; long ones go by a digest
+        self.sought = () if self.begins or len(contexts) > 64 or any(len(c) > SHAPE_BYTES - 4 for c in contexts) else tuple(contexts)
+
+    def may_be_in(self, text: bytes) -> bool:
+        if not self.sought:
+            return self.begins or bool(self.contexts)
+        low = text.lower()
+        return any(c in low for c in self.sought)
 
     def __missing__(self, word: bytes) -> bool:
         if len(self) >= CACHED:
@@ -147,7 +155,7 @@ def candidates(text: bytes, contexts: Contexts = NO_CONTEXTS) -> Iterator[tuple[
     if b"=" in text or b":" in text:
         places += [m.end() for m in _AFTER_KEY.finditer(text)]
     after: set[int] = set()
-    if contexts.begins or contexts.contexts:
+    if contexts.may_be_in(text):
         after = {k + 1 for k, known in enumerate(map(contexts.__getitem__, text.split())) if known}
         if contexts.begins:
             after.add(0)
@@ -231,78 +239,92 @@ def pattern_instances(docs: DataFrame, contexts: frozenset[bytes] = frozenset())
     return df.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind, confidence, instances: both sides of the graph scored in turns until the patterns above the
-    thresholds and their confidences stay, seeds at 1 throughout.
+    """pattern, kind, confidence: both sides of the graph scored in turns until the patterns above the thresholds and
+    their confidences stay, seeds at 1 throughout.
 
     A pattern's confidence is the mean score of its instances for its best kind, with one unknown instance added; an
-    instance takes the confidence of its best pattern. Instances without a score ("1", a year) never enter a join, and
-    patterns with too few instances leave the graph at once; both sides of a join that are few are broadcast.
+    instance takes the confidence of its best pattern. Patterns with too few instances leave the graph at once, instances
+    without a score ("1", a year) never meet a pattern, and sides of joins that are known to be few are broadcast.
     """
+    sizes = edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_INSTANCES)
+    useful = common.staged(edges.select("pattern", "instance").join(sizes, "pattern"), "useful")
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("kind")).where("kind > 0").withColumn("score", F.lit(1.0))
-    seeds = common.staged(seeds, "seeds")
-    sizes = common.staged(edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_INSTANCES), "sizes")
-    useful = common.staged(edges.select("pattern", "instance").join(_small(sizes, BROADCAST_INSTANCES), "pattern"), "edges")
+    seeds = common.staged(seeds.join(useful.select("instance"), "instance", "left_semi"), "seeds")
+    few = useful.count() <= BROADCAST_INSTANCES  # and so are the instances that have a score
     numbers = range(1, len(FOUND_KINDS) + 1)
     scores, before, patterns = seeds, None, None
     for _ in range(rounds):
         sums = [F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"s{k}") for k in numbers]
-        by = useful.join(_small(scores, BROADCAST_INSTANCES), "instance").groupBy("pattern").agg(F.max("instances").alias("instances"), *sums)
+        by = useful.join(F.broadcast(scores) if few else scores, "instance").groupBy("pattern").agg(F.max("instances").alias("instances"), *sums)
         best = F.greatest(*[F.col(f"s{k}") for k in numbers])
         kind = F.coalesce(*[F.when(F.col(f"s{k}") == best, F.lit(k)) for k in numbers])
-        found = by.select("pattern", "instances", kind.alias("kind"), (best / (F.col("instances") + 1)).alias("confidence"))
+        found = by.select("pattern", kind.alias("kind"), (best / (F.col("instances") + 1)).alias("confidence"))
         patterns = common.staged(found.where(F.col("confidence") >= LEAST_CONFIDENCE), "scored")
+        if rounds == 1:
+            break
         state = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
         if before is not None and state[0] == before[0] and abs(state[1] - before[1]) <= 1e-9 * max(1, state[0]):
             break
         before = state
+        named = patterns.select("pattern", F.col("kind").alias("by_kind"), "confidence")
         reached = (
             useful.select("pattern", "instance")
-            .join(_small(patterns.select("pattern", F.col("kind").alias("by_kind"), "confidence"), BROADCAST_PATTERNS), "pattern")
+            .join(F.broadcast(named) if state[0] <= BROADCAST_PATTERNS else named, "pattern")
             .groupBy("instance")
             .agg(F.max(F.struct("confidence", "by_kind")).alias("best"))
             .join(seeds.select("instance"), "instance", "left_anti")
             .select("instance", F.col("best.by_kind").alias("kind"), F.col("best.confidence").alias("score"))
         )
-        scores = common.staged(seeds.union(reached), "scores")
+        scores = seeds.union(reached)
     return patterns
 
 
-def _left(pattern: bytes) -> bytes:
-    return pattern.split(b"\x1f", 1)[0]
+def _context(pattern: bytes) -> bytes | None:
+    """The context on the left, if the pattern can match words without digits: its shape is none or tells of none."""
+    left, form, _ = pattern.split(b"\x1f")
+    return left if left != b"*" and (b"~" in form or not re.search(rb"[9x]", form)) else None
 
 
 def _with_left(patterns: DataFrame) -> DataFrame:
-    """pattern, kind and left, the context on the left."""
+    """pattern, kind and left, the context on the left where words without digits can follow it, else null."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_left(p) for p in batch.column(0).to_pylist()], pa.binary())], ["pattern", "kind", "left"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_context(p) for p in batch.column(0).to_pylist()], pa.binary())], ["pattern", "kind", "left"])
 
     return patterns.select("pattern", "kind").mapInArrow(make, "pattern binary, kind int, left binary")
 
 
-def learn_patterns(docs: DataFrame) -> DataFrame:
-    """pattern, kind, free: all patterns of high confidence; `free` ones also find words without digits.
+def learn_patterns(docs: DataFrame) -> tuple[DataFrame, list | None]:
+    """pattern, kind, free: all patterns of high confidence, `free` ones also find words without digits; and their rows,
+    unless they are too many to be sent to all workers.
 
-    Patterns of tokens with digits, seeds and keys come first. In the contexts that these have, all other words are
-    gathered as instances too, and both together are scored anew: a context that mostly ordinary words follow falls.
+    Tokens with digits, seeds and what follows a key come first. In the contexts that seeds induce, of patterns that words
+    without digits can match, all such words are gathered as instances too; then all are scored in turns. A context that
+    ordinary words mostly follow so falls.
     """
     edges = common.staged(pattern_instances(docs), "patterns")
-    first = _with_left(scored_patterns(edges)).where(F.col("left") != F.lit(b"*"))
-    contexts = common.staged(first.select("left").distinct(), "contexts")
-    blocks = -(-contexts.count() // BROADCAST_CONTEXTS)
-    for block in range(blocks):
-        some = contexts.where(F.pmod(F.xxhash64("left"), F.lit(blocks)) == block)
-        words = frozenset(bytes(r[0]) for r in some.toLocalIterator())
-        edges = edges.union(common.staged(pattern_instances(docs, words), "patterns"))
+    contexts = _with_left(scored_patterns(edges, 1)).where("left is not null").select("left").distinct()
+    words = [bytes(r[0]) for r in contexts.limit(BROADCAST_CONTEXTS + 1).collect()]
+    if not words:
+        contexts = None
+    elif len(words) <= BROADCAST_CONTEXTS:
+        edges = edges.union(common.staged(pattern_instances(docs, frozenset(words)), "patterns"))
+        contexts = docs.sparkSession.createDataFrame([(w,) for w in words], "left binary")
+    else:
+        contexts = common.staged(contexts, "contexts")
+        blocks = -(-contexts.count() // BROADCAST_CONTEXTS) + 1
+        for block in range(blocks):
+            some = contexts.where(F.pmod(F.xxhash64("left"), F.lit(blocks)) == block)
+            edges = edges.union(common.staged(pattern_instances(docs, frozenset(bytes(r[0]) for r in some.toLocalIterator())), "patterns"))
     scored = _with_left(scored_patterns(edges))
-    free = contexts.withColumn("free", F.lit(True))
-    return common.staged(scored.join(free, "left", "left").select("pattern", "kind", F.coalesce("free", F.lit(False)).alias("free")), "learned")
+    if contexts is None:
+        learned = scored.select("pattern", "kind", F.lit(False).alias("free"))
+    else:
+        learned = scored.join(contexts.withColumn("free", F.lit(True)), "left", "left").select("pattern", "kind", F.coalesce("free", F.lit(False)).alias("free"))
+    rows = learned.limit(BROADCAST_PATTERNS + 1).collect()
+    return (learned, rows) if len(rows) <= BROADCAST_PATTERNS else (common.staged(learned, "learned"), None)
 
 
 class Learned(dict):
@@ -310,7 +332,7 @@ class Learned(dict):
 
     def __init__(self, rows: list):
         super().__init__((bytes(r["pattern"]), FOUND_KINDS[r["kind"] - 1]) for r in rows)
-        self.free = frozenset(_left(bytes(r["pattern"])) for r in rows if r["free"])
+        self.free = frozenset(_context(bytes(r["pattern"])) for r in rows if r["free"])
         self.contexts = Contexts(self.free)
 
     def __reduce__(self):
@@ -374,9 +396,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     A null text counts as empty: no spans, the digest of nothing. Repeated rows each give a row, and count once as
     instances; a null doc_id stays null. Spans that patterns add never overlap base spans. Other columns are ignored.
     """
-    learned = learn_patterns(docs)
-    joined = learned.count() > BROADCAST_PATTERNS
-    shipped = docs.sparkSession.sparkContext.broadcast(Learned([] if joined else learned.collect()))
+    learned, few = learn_patterns(docs)
+    joined = few is None
+    shipped = docs.sparkSession.sparkContext.broadcast(Learned(few or []))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
@@ -420,9 +442,9 @@ def redacted_text(text: bytes, patterns: Learned) -> bytes:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data in `text` replaced by placeholders; null texts and other columns stay."""
-    learned = learn_patterns(docs)
-    joined = learned.count() > BROADCAST_PATTERNS
-    shipped = docs.sparkSession.sparkContext.broadcast(Learned([] if joined else learned.collect()))
+    learned, few = learn_patterns(docs)
+    joined = few is None
+    shipped = docs.sparkSession.sparkContext.broadcast(Learned(few or []))
     names = [f.name for f in docs.schema]
     inner = docs.select(*[F.col(f"`{n}`").cast("binary").alias(f"_{i}") if n == "text" else F.col(f"`{n}`").alias(f"_{i}") for i, n in enumerate(names)])
     at = names.index("text")

@@ -1,11 +1,14 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
 Token counts come from all training documents. Frequent words (a bounded table) are known to every worker; rarer ones
-meet their counts in a join. The neural model predicts a unit: a word of its own for the most frequent, a class by word
-ending for other frequent words, one unit for all rarer words. A bounded sample gives its tables their first values; from
-these, every task trains on all training documents that it reads, and the tables of all tasks are averaged by their
-tokens. A softmax over all units normalises; within a unit, words share its probability by their corpus counts, so that
-the probabilities of all words, one unknown word included, sum to one.
+meet their counts in a join. The neural model has two levels: it predicts a unit (a word of its own for the most frequent,
+a class by word ending for others, one unit for all rarer words) and then the member of the class: each word of the
+vocabulary is one, and all words of the class beyond the vocabulary are one more, shared by corpus counts. Every word of
+the vocabulary has a vector of its own as context and as target. Both softmaxes run over all their members, so the
+probabilities of all words, one unknown word included, sum to one.
+
+A bounded sample gives the tables their first values; from these, every task trains on all training documents that it
+reads, and each row of the tables becomes the mean of what the tasks make of it, by the tokens that they used it for.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from trialweave.llm import common
 
 FOLDS, HELD_OUT = 5, 1
 FREQUENT = 400_000  # words of the broadcast table, at most
-OWN_UNITS, CLASS_UNITS = 95, 32
+OWN_UNITS, CLASS_UNITS = 63, 128
+VOCABULARY = 24_000  # words with vectors of their own
 CONTEXT, WIDTH = 3, 24
+BATCH, NOISE, NOISE_MEMBERS, RATE = 4096, 48, 3, 0.05  # of the training: tokens of a step, draws for a step and for a token
 SAMPLE_DOCS = 1_500  # documents, at most, from which the neural model's tables get their first values
 SAMPLE_TOKENS = 300_000
 GATHERED = 65_536  # tokens that a task gathers and mixes before it trains on them
@@ -81,229 +86,319 @@ def least_count(counts: DataFrame, most: int) -> int:
 
 
 @dataclass
-class Model:
-    """Frequent words with their counts and units, and the trained tables.
+class Words:
+    """What becomes of the frequent words, by falling count: their units, members of classes and rows as context.
 
-    context[j] are the rows that the unit j+1 words back adds to the prediction; target and bias score each unit.
+    Units: 0 for rarer words, then words of their own, then classes by ending. The members of class k stand from first[k]
+    to first[k + 1]: all words beyond the vocabulary as one, then each of the vocabulary. Context rows: 0 for rarer words,
+    then the vocabulary, then a row for each class.
     """
 
-    blob: bytes
-    counts: np.ndarray
-    units: np.ndarray
-    share: np.ndarray  # log10 of a frequent word's share of its unit
-    rare_log: float  # log10 of the mass of the rare unit
-    context: np.ndarray
-    target: np.ndarray
-    bias: np.ndarray
+    unit: np.ndarray
+    member: np.ndarray  # -1 for words of their own
+    row: np.ndarray
+    share: np.ndarray  # log10 of a word's share of its member
+    first: np.ndarray
+    mass: np.ndarray  # of the units
+    members: np.ndarray  # mass of the members
 
     @property
-    def words(self) -> list[bytes]:
-        return self.blob.split(b"\n") if len(self.counts) else []
-
-
-def unit_of(words: list[bytes]) -> np.ndarray:
-    """Units of words ordered by falling count: 0 is the rare unit, then words of their own, then classes by ending."""
-    own = np.arange(1, len(words) + 1)
-    classed = np.fromiter((1 + OWN_UNITS + zlib.crc32(w[-3:]) % CLASS_UNITS for w in words), np.int64, len(words))
-    return np.where(own <= OWN_UNITS, own, classed)
+    def n_rows(self) -> int:
+        return 1 + VOCABULARY + CLASS_UNITS
+
+
+def placed(words: list[bytes], counts: np.ndarray, total: int, distinct: int) -> Words:
+    n = len(words)
+    rank = np.arange(n)
+    ending = np.fromiter((zlib.crc32(w[-3:]) % CLASS_UNITS for w in words), np.int64, n)
+    own, known = rank < OWN_UNITS, rank < VOCABULARY
+    unit = np.where(own, 1 + rank, 1 + OWN_UNITS + ending)
+    sizes = 1 + np.bincount(ending[~own & known], minlength=CLASS_UNITS)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    member = np.where(own, -1, first[ending])
+    inside = np.flatnonzero(~own & known)
+    inside = inside[np.argsort(ending[inside], kind="stable")]
+    member[inside] = first[ending[inside]] + 1 + np.arange(len(inside)) - (first[:-1] - np.arange(CLASS_UNITS))[ending[inside]]
+    row = np.where(known, 1 + rank, 1 + VOCABULARY + ending)
+    n_units = 1 + OWN_UNITS + CLASS_UNITS
+    mass = np.bincount(unit, counts + 0.5, n_units).astype(float)
+    mass[0] = max(total + 0.5 * (distinct + 1) - mass[1:].sum(), 0.5)
+    members = np.bincount(member[~own], (counts + 0.5)[~own], first[-1]).astype(float)
+    share = np.zeros(n)
+    share[~own] = np.log10((counts + 0.5)[~own] / members[member[~own]])
+    return Words(unit, member, row, share, first, mass, members)
 
 
-def contexts(ids: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
-    """(tokens, CONTEXT) units before each token, `first` before a document's beginning."""
-    at = np.arange(len(ids))
-    out = np.empty((len(ids), CONTEXT), np.int64)
+def contexts(rows: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
+    """(tokens, CONTEXT) rows of the words before each token, `first` before a document's beginning."""
+    at = np.arange(len(rows))
+    out = np.empty((len(rows), CONTEXT), np.int64)
     for j in range(CONTEXT):
         back = at - j - 1
-        out[:, j] = np.where(back >= starts, ids[np.maximum(back, 0)], first)
+        out[:, j] = np.where(back >= starts, rows[np.maximum(back, 0)], first)
     return out
 
 
+#: The tables, one below the other with a row of WIDTH numbers and a bias each: context rows, place matrices, units, members.
+PARTS = ("r", "c", "q", "m")
+
+
+def part_sizes(words: Words) -> list[int]:
+    return [words.n_rows, CONTEXT * WIDTH, len(words.mass), int(words.first[-1])]
+
+
+def first_tables(words: Words, seed: int = 3) -> np.ndarray:
+    """Small random vectors, places as parts of the identity, biases from the corpus."""
+    sizes = part_sizes(words)
+    out = np.random.default_rng(seed).normal(0, 0.1, (sum(sizes), WIDTH + 1)).astype(np.float32)
+    r, c, q, _ = np.cumsum(sizes)
+    out[:, WIDTH] = 0
+    out[r:c, :WIDTH] = np.concatenate([np.eye(WIDTH) / (j + 1) for j in range(CONTEXT)])
+    out[c:q, WIDTH] = np.log(np.maximum(words.mass, 0.5) / words.mass.sum())
+    of = np.repeat(np.arange(CLASS_UNITS), np.diff(words.first))
+    out[q:, :WIDTH] *= 0.3
+    out[q:, WIDTH] = np.log(np.maximum(words.members, 0.5) / np.maximum(np.bincount(of, words.members, CLASS_UNITS)[of], 0.5))
+    return out
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values and how often each stands there."""
+    order = np.argsort(rows, kind="stable")
+    at = rows[order]
+    cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+    return at[cuts], np.add.reduceat(values[order], cuts, axis=0), np.diff(np.append(cuts, len(at)))
+
+
 class Trainer:
-    """Noise-contrastive estimation with noise from the unigram distribution, shared within a batch; Adam steps."""
+    """Noise-contrastive estimation of both levels; steps of Adagrad on the rows that a batch touches.
 
-    def __init__(self, tables: dict[str, np.ndarray], p: np.ndarray, kind: type, batch: int = 1024, noise: int = 48, rate: float = 0.02, fall: float = np.inf, seed: int = 3):
-        self.tables = {k: v.astype(kind) for k, v in tables.items()}
-        self.state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.tables.items()}
-        self.p, self.offset = p, np.log(noise * p).astype(kind)
-        self.batch, self.noise, self.rate, self.fall = batch, noise, rate, fall
-        self.rng, self.step = np.random.default_rng(seed), 0
+    Noise units come from the corpus and are shared within a batch; noise members come from the token's own class.
+    """
 
-    def run(self, ids: np.ndarray, ctx: np.ndarray) -> None:
+    def __init__(self, words: Words, tables: np.ndarray, seed: int = 3, rate: float = RATE):
+        common.one_thread()
+        self.words, self.tables = words, tables.copy()
+        self.squares = np.full(tables.shape, 1e-2, np.float32)
+        self.used = np.zeros(len(tables), np.int64)
+        self.begin = dict(zip(PARTS, np.concatenate(([0], np.cumsum(part_sizes(words))[:-1])).tolist(), strict=True))
+        p = np.maximum(words.mass, 0.5)
+        self.p = p / p.sum()
+        self.offset = np.log(NOISE * self.p).astype(np.float32)
+        mass = np.maximum(words.members, 1e-9)
+        self.upto = np.cumsum(mass)
+        edge = np.concatenate(([0.0], self.upto))[words.first]
+        self.low, self.width = edge[:-1], np.diff(edge)
+        of = np.repeat(np.arange(CLASS_UNITS), np.diff(words.first))
+        self.of, self.member_offset = of, np.log(NOISE_MEMBERS * mass / self.width[of]).astype(np.float32)
+        self.rng, self.rate = np.random.default_rng(seed), rate
+
+    def run(self, units: np.ndarray, members: np.ndarray, ctx: np.ndarray) -> None:
         """One pass over the tokens in mixed order."""
-        order = self.rng.permutation(len(ids))
-        for at in range(0, len(order), self.batch):
-            rows = order[at : at + self.batch]
-            self._batch(ids[rows], ctx[rows])
-
-    def _batch(self, w: np.ndarray, h: np.ndarray) -> None:
-        r, c, q, b = (self.tables[k] for k in "rcqb")
-        n_units = len(b)
-        hidden = sum((r @ c[j])[h[:, j]] for j in range(CONTEXT))
-        drawn = self.rng.choice(n_units, self.noise, p=self.p)
-        q_own, q_drawn = q[w], q[drawn]
-        good = (hidden * q_own).sum(1) + b[w] - self.offset[w]
-        bad = hidden @ q_drawn.T + (b[drawn] - self.offset[drawn])
+        order = self.rng.permutation(len(units))
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            self._batch(units[rows], members[rows], ctx[rows])
+
+    def _step(self, rows: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
+        s = self.squares[rows] + g * g
+        self.squares[rows] = s
+        self.tables[rows] += self.rate * g / np.sqrt(s)
+        self.used[rows] += times
+
+    def _batch(self, units: np.ndarray, members: np.ndarray, ctx: np.ndarray) -> None:
+        t, n, w = self.tables, len(units), WIDTH
+        r0, c0, q0, m0 = (self.begin[k] for k in PARTS)
+        vectors = [t[r0 + ctx[:, j], :w] for j in range(CONTEXT)]
+        places = [t[c0 + j * w : c0 + (j + 1) * w, :w] for j in range(CONTEXT)]
+        hidden = sum(v @ c for v, c in zip(vectors, places, strict=True))
+        drawn = self.rng.choice(len(self.p), NOISE, p=self.p)
+        own, noise = t[q0 + units], t[q0 + drawn]
+        good = np.einsum("ij,ij->i", hidden, own[:, :w]) + own[:, w] - self.offset[units]
+        bad = hidden @ noise[:, :w].T + (noise[:, w] - self.offset[drawn])
         e_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigma
         e_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        g_hidden = e_good[:, None] * q_own + e_bad @ q_drawn
-        g_q = _by_unit(w, e_good[:, None] * hidden, n_units)
-        np.add.at(g_q, drawn, e_bad.T @ hidden)
-        g_b = np.bincount(w, e_good, n_units) + np.bincount(drawn, e_bad.sum(0), n_units)
-        back = [_by_unit(h[:, j], g_hidden, n_units) for j in range(CONTEXT)]
-        g_c = np.stack([r.T @ back[j] for j in range(CONTEXT)])
-        g_r = sum(back[j] @ c[j].T for j in range(CONTEXT))
-        self.step += 1
-        rate = self.rate / np.sqrt(1 + self.step / self.fall)
-        for k, g in (("r", g_r), ("c", g_c), ("q", g_q), ("b", g_b)):
-            g = g / len(w)
-            m, v = self.state[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.tables[k] += rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.99**self.step)) + 1e-8)
-
-
-def _by_unit(units: np.ndarray, rows: np.ndarray, n_units: int) -> np.ndarray:
-    """Sums of the rows of each unit."""
-    at = units[:, None] * WIDTH + np.arange(WIDTH)
-    return np.bincount(at.ravel(), rows.ravel(), n_units * WIDTH).reshape(n_units, WIDTH)
-
-
-def train(ids: np.ndarray, ctx: np.ndarray, n_units: int, epochs: int = 4, seed: int = 3) -> dict[str, np.ndarray]:
-    """Tables r (units), c (places), q (targets) and b (biases) from one sample."""
-    rng = np.random.default_rng(seed)
-    freq = np.bincount(ids, minlength=n_units) + 0.5
-    p = freq / freq.sum()
-    tables = {
-        "r": rng.normal(0, 0.1, (n_units, WIDTH)), "c": np.stack([np.eye(WIDTH) / (j + 1) for j in range(CONTEXT)]),
-        "q": rng.normal(0, 0.1, (n_units, WIDTH)), "b": np.log(p),
-    }
-    trainer = Trainer(tables, p, np.float64, seed=seed)
-    for _ in range(epochs):
-        trainer.run(ids, ctx)
-    return trainer.tables
-
-
-def train_on_all(training: DataFrame, words: list[bytes], units: np.ndarray, first: int, tables: dict[str, np.ndarray], p: np.ndarray) -> dict[str, np.ndarray]:
-    """The tables after a pass over all training documents: the mean of what each task makes of them, by its tokens."""
-    shipped = training.sparkSession.sparkContext.broadcast((words, units, tables))
-    order = sorted(tables)
+        g_hidden = e_good[:, None] * own[:, :w] + e_bad @ noise[:, :w]
+        one = np.ones((n, 1), np.float32)
+        both = np.concatenate([hidden, one], 1)
+        todo = [(q0 + units, e_good[:, None] * both), (q0 + drawn, e_bad.T @ both)]
+        inside = np.flatnonzero(members >= 0)
+        if len(inside):
+            k = self.of[members[inside]]
+            at = self.low[k][:, None] + self.rng.random((len(inside), NOISE_MEMBERS)) * self.width[k][:, None]
+            other = np.minimum(np.searchsorted(self.upto, at, side="right"), (self.words.first[k + 1] - 1)[:, None])
+            picked = np.concatenate([members[inside][:, None], other], 1)
+            target = t[m0 + picked]
+            h = hidden[inside]
+            score = np.einsum("ikj,ij->ik", target[:, :, :w], h) + target[:, :, w] - self.member_offset[picked]
+            e = -1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            e[:, 0] += 1
+            g_hidden[inside] += np.einsum("ik,ikj->ij", e, target[:, :, :w])
+            todo.append((m0 + picked.ravel(), (e[:, :, None] * both[inside][:, None, :]).reshape(-1, w + 1)))
+        zero = np.zeros((n, 1), np.float32)
+        for j in range(CONTEXT):
+            todo.append((r0 + ctx[:, j], np.concatenate([g_hidden @ places[j].T, zero], 1)))
+            g_c = np.concatenate([vectors[j].T @ g_hidden, np.zeros((w, 1), np.float32)], 1)
+            self._step(np.arange(c0 + j * w, c0 + (j + 1) * w), g_c, np.full(w, n))
+        for begin in (q0, m0, r0):
+            part = [(rows, g) for rows, g in todo if rows[0] >= begin]
+            todo = [(rows, g) for rows, g in todo if rows[0] < begin]
+            if part:
+                self._step(*_summed(np.concatenate([rows for rows, _ in part]), np.concatenate([g for _, g in part])))
+
+
+class Coded:
+    """Texts as units, members and context rows of their tokens."""
+
+    def __init__(self, names: list[bytes], words: Words):
+        self.number = {w: k for k, w in enumerate(names)}
+        self.unit, self.member, self.row = (np.append(x, y) for x, y in ((words.unit, 0), (words.member, -1), (words.row, 0)))
+        self.first = int(self.row[self.number.get(END, -1)])
+
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        """Numbers of the words, -1 for those that are not frequent: it is also the place of what these have."""
+        return np.fromiter(map(self.number.get, tokens, repeat(-1)), np.int64, len(tokens))
+
+    def trained(self, trainer: Trainer, docs: list[np.ndarray]) -> None:
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        k = np.concatenate(docs)
+        trainer.run(self.unit[k], self.member[k], contexts(self.row[k], np.repeat(np.cumsum(sizes) - sizes, sizes), self.first))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, units, tables = shipped.value
-        unit = dict(zip(words, units.tolist(), strict=True))
-        trainer = Trainer(tables, p, np.float32, fall=50.0)
-        docs: list[np.ndarray] = []
-        size = total = 0
 
-        def flush() -> None:
-            sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-            ids = np.concatenate(docs)
-            trainer.run(ids, contexts(ids, np.repeat(np.cumsum(sizes) - sizes, sizes), first))
+def train_on_all(training: DataFrame, names: list[bytes], words: Words, tables: np.ndarray) -> np.ndarray:
+    """The tables after a pass over all training documents: each row by the mean of the tasks' changes to it, weighed by
+    how often they used it. Tasks hand on the rows that they used; these are summed by row before anything is collected."""
+    spark = training.sparkSession
+    shipped = spark.sparkContext.broadcast((names, words, tables))
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words, tables = shipped.value
+        coded, trainer = Coded(names, words), Trainer(words, tables)
+        docs: list[np.ndarray] = []
+        size = 0
         for batch in common.sliced(batches, 256):
             for text in common.texts(batch):
-                doc = [*common.space_words(text), END]
-                docs.append(np.fromiter(map(unit.get, doc, repeat(0)), np.int64, len(doc)))
-                size += len(doc)
+                docs.append(coded.numbers([*common.space_words(text), END]))
+                size += len(docs[-1])
                 if size >= GATHERED:
-                    flush()
-                    docs, total, size = [], total + size, 0
+                    coded.trained(trainer, docs)
+                    docs, size = [], 0
         if docs:
-            flush()
-            total += size
-        if total:
-            flat = np.concatenate([trainer.tables[k].ravel() for k in order]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([flat.tobytes()], pa.binary())], ["n", "tables"])
-
-    trained = common.staged(training.select(F.col("text").cast("binary").alias("text")).mapInArrow(make, "n long, tables binary"), "tables")
-    n, summed = 0, np.zeros(sum(tables[k].size for k in order))
-    for r in trained.orderBy("n", "tables").toLocalIterator():  # a small row for each task
-        n += r.n
-        summed += r.n * np.frombuffer(r.tables, np.float32).astype(np.float64)
+            coded.trained(trainer, docs)
+        rows = np.flatnonzero(trainer.used)
+        n = trainer.used[rows].astype(np.float64)
+        change = (trainer.tables[rows] - tables[rows]).astype(np.float64) * n[:, None]
+        columns = [pa.array(np.ascontiguousarray(change[:, j])) for j in range(WIDTH + 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(n), *columns], names_of)
+
+    names_of = ["row", "n", *[f"d{j}" for j in range(WIDTH + 1)]]
+    trained = training.select(F.col("text").cast("binary").alias("text")).mapInArrow(make, "row long, " + ", ".join(f"{c} double" for c in names_of[1:]))
+    means = [(F.sum(f"d{j}") / F.sum("n")).cast("float").alias(f"d{j}") for j in range(WIDTH + 1)]
+    got = trained.groupBy("row").agg(*means).toArrow()  # a row for each of the tables, whose number is bounded
     shipped.unpersist()
-    if not n:
-        return tables
-    parts = np.split(summed / n, np.cumsum([tables[k].size for k in order])[:-1])
-    return {k: v.reshape(tables[k].shape) for k, v in zip(order, parts, strict=True)}
+    out = tables.copy()
+    if got.num_rows:
+        out[got.column("row").to_numpy()] += np.stack([got.column(f"d{j}").to_numpy() for j in range(WIDTH + 1)], 1).astype(np.float32)
+    return out
 
 
-def build(words: list[bytes], counts: np.ndarray, total: int, distinct: int, sample: list[bytes], further: Callable | None = None) -> Model:
+@dataclass
+class Model:
+    """Frequent words, their counts and places, and the trained tables: the context's vectors already at their places."""
+
+    blob: bytes
+    counts: np.ndarray
+    words: Words
+    rare_log: float  # log10 of the mass of the rare unit
+    context: np.ndarray  # (CONTEXT, rows, WIDTH)
+    target: np.ndarray
+    bias: np.ndarray
+    member: np.ndarray
+    member_bias: np.ndarray
+
+    @property
+    def names(self) -> list[bytes]:
+        return self.blob.split(b"\n") if len(self.counts) else []
+
+
+def build(names: list[bytes], counts: np.ndarray, total: int, distinct: int, sample: list[bytes], further: Callable | None = None, epochs: int = 3) -> Model:
     """The model from frequent words by falling count, the corpus totals and sample texts.
 
-    `further` trains on, from words, units, the unit before a text, tables and the units' shares of the corpus.
+    `further` trains on, from names, places and tables.
     """
-    units = unit_of(words)
-    n_units = 1 + OWN_UNITS + CLASS_UNITS
-    mass = np.bincount(units, counts + 0.5, n_units)
-    mass[0] = max(total + 0.5 * (distinct + 1) - mass[1:].sum(), 0.5)
-    number = {w: k for k, w in enumerate(words)}
-    ids, starts, size = [], [], 0
-    for text in sample:
-        doc = [*common.space_words(text), END]
-        starts.append(np.full(len(doc), size))
-        ids.append(units[k] if len(k := np.fromiter(map(number.get, doc, repeat(-1)), np.int64, len(doc))) and len(units) else np.zeros(len(doc), np.int64))
-        ids[-1] = np.where(k < 0, 0, ids[-1])
-        size += len(doc)
-    first = int(units[number[END]]) if END in number else 0
-    if ids:
-        flat = np.concatenate(ids)
-        tables = train(flat, contexts(flat, np.concatenate(starts), first), n_units)
-        if further:
-            p = np.maximum(mass, 0.5)
-            tables = further(words, units, first, tables, p / p.sum())
-        context, target, bias = np.stack([tables["r"] @ tables["c"][j] for j in range(CONTEXT)]), tables["q"], tables["b"]
-    else:
-        context, target, bias = np.zeros((CONTEXT, n_units, 1)), np.zeros((n_units, 1)), np.zeros(n_units)
-    # a unit without any word takes no probability
-    bias = np.where(mass > 0, bias, -1e4)
-    share = np.log10((counts + 0.5) / mass[units]) if len(words) else np.zeros(0)
-    f4 = np.float32
-    return Model(b"\n".join(words), counts, units, share, float(np.log10(mass[0])), context.astype(f4), target.astype(f4), bias.astype(f4))
+    words = placed(names, counts, total, distinct)
+    tables = first_tables(words)
+    if sample:
+        coded, trainer = Coded(names, words), Trainer(words, tables)
+        docs = [coded.numbers([*common.space_words(t), END]) for t in sample]
+        for _ in range(epochs):
+            coded.trained(trainer, docs)
+        tables = further(names, words, trainer.tables) if further else trainer.tables
+    r, c, q, m = np.split(tables, np.cumsum(part_sizes(words))[:-1])
+    context = np.stack([r[:, :WIDTH] @ c[j * WIDTH : (j + 1) * WIDTH, :WIDTH] for j in range(CONTEXT)])
+    # what has no word at all takes no probability
+    bias = np.where(words.mass > 0, q[:, WIDTH], -1e4).astype(np.float32)
+    member_bias = np.where(words.members > 0, m[:, WIDTH], -1e4).astype(np.float32)
+    return Model(b"\n".join(names), counts, words, float(np.log10(words.mass[0])), context, q[:, :WIDTH], bias, m[:, :WIDTH], member_bias)
+
+
+def _log_softmax_at(hidden: np.ndarray, target: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax of hidden @ target + bias at one place of each row."""
+    scores = hidden @ target
+    scores += bias
+    scores -= scores.max(1, keepdims=True)
+    got = scores[np.arange(len(at)), at].astype(np.float64)
+    np.exp(scores, out=scores)
+    return got - np.log(scores.sum(1, dtype=np.float64))
 
 
 class Scorer:
     """A worker's copy of the model with the words in a dictionary."""
 
     def __init__(self, model: Model):
-        self.model = model
-        self.number = {w: k for k, w in enumerate(model.words)}
-        self.log_counts = np.log10(model.counts + 0.5) if len(model.counts) else np.zeros(0)
-        self.first = int(model.units[self.number[END]]) if END in self.number else 0
-
-    def unit_logs(self, units: np.ndarray, ctx: np.ndarray, block: int = 2048) -> np.ndarray:
-        """log10 probabilities of units after their contexts, by batched matrix products."""
-        m, out = self.model, np.empty(len(units))
-        turned = np.ascontiguousarray(m.target.T)
+        common.one_thread()
+        self.model, self.coded = model, Coded(model.names, model.words)
+        self.turned = np.ascontiguousarray(model.target.T)
+        first = model.words.first
+        self.classes = [(np.ascontiguousarray(model.member[a:b].T), model.member_bias[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.log_counts = np.append(np.log10(model.counts + 0.5), 0.0)
+        self.share = np.append(model.words.share, -model.rare_log)
+
+    def logs(self, numbers: np.ndarray, ctx: np.ndarray, block: int = 2048) -> np.ndarray:
+        """log10 probabilities of words after their contexts, by batched matrix products over units and over the members of
+        each class; for words that are not frequent, those of each of them but for its count."""
+        m, coded = self.model, self.coded
+        units, members = coded.unit[numbers], coded.member[numbers]
+        out = np.empty(len(units))
+        hidden = np.empty((len(units), WIDTH), np.float32)
         for a in range(0, len(units), block):
             h = ctx[a : a + block]
-            hidden = sum(m.context[j][h[:, j]] for j in range(CONTEXT))
-            scores = hidden @ turned
-            scores += m.bias
-            scores -= scores.max(1, keepdims=True)
-            got = scores[np.arange(len(h)), units[a : a + block]].astype(np.float64)
-            np.exp(scores, out=scores)
-            out[a : a + block] = got - np.log(scores.sum(1, dtype=np.float64))
-        return out / np.log(10)
+            hidden[a : a + block] = sum(m.context[j][h[:, j]] for j in range(CONTEXT))
+            out[a : a + block] = _log_softmax_at(hidden[a : a + block], self.turned, m.bias, units[a : a + block])
+        inside = np.flatnonzero(members >= 0)
+        inside = inside[np.argsort(units[inside], kind="stable")]
+        of = units[inside] - 1 - OWN_UNITS
+        for rows in np.split(inside, np.flatnonzero(np.diff(of)) + 1) if len(inside) else ():
+            k = int(units[rows[0]]) - 1 - OWN_UNITS
+            target, bias = self.classes[k]
+            for a in range(0, len(rows), block):
+                some = rows[a : a + block]
+                out[some] += _log_softmax_at(hidden[some], target, bias, members[some] - m.words.first[k])
+        return out / np.log(10) + self.share[numbers]
 
     def score(self, docs: list[list[bytes]]) -> tuple:
         """For each document: tokens, frequent ones, their base and model logs, and its rare words with their numbers."""
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         flat = [w for d in docs for w in d]
-        k = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        k = self.coded.numbers(flat)
         known = k >= 0
         of = np.repeat(np.arange(len(docs)), sizes)
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        at = np.where(known, k, 0)
-        empty = not len(self.number)
-        units = np.zeros(len(flat), np.int64) if empty else np.where(known, self.model.units[at], 0)
-        logs = self.unit_logs(units, contexts(units, starts, self.first))
-        logs += -self.model.rare_log if empty else np.where(known, self.model.share[at], -self.model.rare_log)
-        base = np.zeros(len(flat)) if empty else np.where(known, self.log_counts[at], 0.0)
+        logs = self.logs(k, contexts(self.coded.row[k], starts, self.coded.first))
         n = len(docs)
         rare: list[Counter] = [Counter() for _ in docs]
         for j in np.flatnonzero(~known).tolist():
             rare[of[j]][flat[j]] += 1
-        return sizes, np.bincount(of, known, n).astype(np.int64), np.bincount(of, base, n), np.bincount(of, logs, n), rare
+        return sizes, np.bincount(of, known, n).astype(np.int64), np.bincount(of, self.log_counts[k], n), np.bincount(of, logs, n), rare
 
 
 def learn(docs: DataFrame, frequent: int, sample_docs: int) -> tuple[Model, DataFrame, int, int, int]:
@@ -318,13 +413,11 @@ def learn(docs: DataFrame, frequent: int, sample_docs: int) -> tuple[Model, Data
     order = sorted(range(len(words)), key=lambda j: (-c[j], words[j]))
     words, c = [words[j] for j in order], c[order] if len(words) else c
     ids = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = common.id_and_text(training).join(F.broadcast(ids), "doc_id").limit(2 * sample_docs)
-    rows = sorted((r.doc_id, bytes(r.text or b"")) for r in chosen.toLocalIterator())
     sample, size = [], 0
-    for j in np.random.default_rng(11).permutation(len(rows)).tolist():
+    for row in common.bounded_texts(common.id_and_text(training), ids, sample_docs):
         if size < SAMPLE_TOKENS:
-            sample.append(rows[j][1])
-            size += 1 + len(rows[j][1].split())
+            sample.append(bytes(row.text or b""))
+            size += 1 + len(sample[-1].split())
     return build(words, c, total, distinct, sample, partial(train_on_all, training)), counts, least, total, distinct
 
 
