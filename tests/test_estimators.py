@@ -92,18 +92,39 @@ def test_propensities_of_a_cell_sum_to_one(spark):
 
 
 def test_single_arm(spark):
-    df = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "x int, t int, y double")
-    with pytest.raises(E.FitError, match="pain"):
-        E.logistic_weights(df, ["x"], "t", 2, "pain")
-    got = E.linear_responses(df, [], ["x"], "t", "y", 2).collect()
-    assert all(np.isfinite(r.responses).all() for r in got)
+    df = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 0, 2.0), ("b", 0, 0, 1.0), ("b", 1, 1, 3.0)], "trial string, x int, t int, y double")
+    got = {(r.trial, r.x): r.weight for r in E.logistic_weights(df, ["trial"], ["x"], "t", 2).collect()}
+    assert got["a", 0] is got["a", 1] is None and got["b", 0] > 1 and got["b", 1] > 1
+    rows = E.linear_responses(df.where("trial = 'a'"), [], ["x"], "t", "y", 2).collect()
+    assert all(np.isfinite(r.responses[0]) and r.responses[1] is None for r in rows)
 
 
 def test_logistic_weights_are_inverse_probabilities(spark):
-    got = E.logistic_weights(confounded(spark, 3000, 3), ["x"], "t", 2).groupBy("x", "t").agg(F.avg("weight").alias("w")).collect()
+    got = E.logistic_weights(confounded(spark, 3000, 3), [], ["x"], "t", 2).groupBy("x", "t").agg(F.avg("weight").alias("w")).collect()
     assert all(r.w == pytest.approx(1 / (0.8 if r.x == r.t else 0.2), rel=0.15) for r in got)
 
 
+@pytest.mark.parametrize("cells", [E.CELLS, 1])
+def test_each_trial_has_its_own_models(spark, monkeypatch, cells):
+    """Two trials with opposite assignment, together as alone, whether tasks or Spark's iterations fit them."""
+    monkeypatch.setattr(E, "CELLS", cells)
+    one = confounded(spark, 800, 5).select("x", "t", "y").withColumn("trial", F.lit("a"))
+    two = confounded(spark, 800, 6).select((1 - F.col("x")).alias("x"), "t", "y").withColumn("trial", F.lit("b"))
+    for method in ("mc_ipw", "mc_oi"):
+        point = lambda df: {
+            (r.trial, r.arm): r.apo
+            for r in E.potential_outcomes(estimate.responses(df, method, ["trial"], ["x"], "t", "y", 3), ["trial"], 3, weights="weights" if method == "mc_ipw" else None).collect()  # noqa: B023
+        }
+        both, alone = point(one.unionByName(two)), point(one) | point(two)
+        assert both.keys() == alone.keys() and len(both) == 6
+        assert all(both[k] == pytest.approx(alone[k], abs=1e-6) if k[1] < 2 else both[k] is alone[k] is None for k in both)
+
+
+def test_rows_with_missing_covariates_can_go(spark):
+    df = spark.createDataFrame([(0, 1), (None, 1), (1, None)], "a int, b int")
+    assert estimate.complete(df, ["a"]).count() == 3 and estimate.complete(df, ["a"], use_imputed_nones=False).count() == 2
+
+
 def test_bootstrap_draws_n_of_n_in_each_stratum(spark):
     df = confounded(spark, 300, 4)
     sizes = {(r.trial, r.t): r["count"] for r in df.groupBy("trial", "t").count().collect()}

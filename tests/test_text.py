@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions import text as T
 from trialweave.functions import values as V
+from trialweave.operators import prompts
 
 # Spellings that must come out as they do.
 GOLDEN = [
@@ -74,7 +75,7 @@ def test_names_and_endpoints(spark):
     assert [r[0] for r in df.select(T.normalize_treatment(F.col("n"))).collect()] == ["metformin", "drug a"]
     ends = spark.createDataFrame([("Number of Participants with X",), ("Mean change",), ("rate  of patients",), (None,)], "t string")
     assert [r[0] for r in ends.select(T.is_binary_endpoint(F.col("t"))).collect()] == [True, False, True, False]
-    assert [T.alphabet_label(k) for k in (0, 25, 26, 27)] == ["a", "z", "aa", "bb"]
+    assert [prompts.label(k) for k in (0, 25, 26, 27, 701, 702)] == ["a", "z", "aa", "ab", "zz", "aaa"]
 
 
 def test_anonymised(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 from pyspark.sql import Column
@@ -65,12 +66,16 @@ def dispersion(kind: Column, spread: Column, lower: Column, upper: Column) -> Co
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body with a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of log scores."""
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    shares = lambda e: _let(total(e), lambda t: F.transform(e, lambda x: x / t))
+    return _let(F.array_max(scores), lambda top: _let(F.transform(scores, lambda x: F.exp(x - top)), shares))
 
 
 def expected_index(probs: Column) -> Column:

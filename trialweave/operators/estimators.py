@@ -6,11 +6,13 @@ NULL stands for what has no support.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from trialweave.functions.values import draw, quantile
 from trialweave.operators.relational import ranked
@@ -108,43 +110,119 @@ def naive_means(df: DataFrame, keys: Sequence[str], t: str, y: str) -> DataFrame
 
 
 def linear_responses(df: DataFrame, keys: Sequence[str], covs: Sequence[str], t: str, y: str, arms: int) -> DataFrame:
-    """Outcome imputation: least squares of y on covariates and t as one number, predicted for every arm.
+    """Outcome imputation: least squares of y on covariates and t as one number, predicted for every arm that the key's rows
+    have; NULL for the others.
 
-    The normal equations of all trials come from one aggregate; a solution of smallest norm serves constant columns.
-    One small system for each trial goes through the driver.
+    The normal equations of all keys come from one aggregate, and executors solve them, one small system for each key; a
+    solution of smallest norm serves constant columns.
     """
     x = [F.lit(1.0), *[F.col(c).cast("double") for c in covs], F.col(t).cast("double")]
     k = len(x)
     sums = [F.sum(x[i] * x[j]).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)] + [F.sum(x[i] * F.col(y)).alias(f"y{i}") for i in range(k)]
-    rows = df.groupBy(*keys).agg(*sums).collect()  # a row for each trial
-    fitted = []
-    for r in rows:
-        a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-        fitted.append((*[r[c] for c in keys], [float(v) for v in np.linalg.lstsq(a, np.array([r[f"y{i}"] for i in range(k)], float), rcond=None)[0]]))
-    kinds = dict(df.dtypes)
-    spark = df.sparkSession
-    beta = spark.createDataFrame(fitted, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "_beta array<double>"])) if fitted else None
-    if beta is None:
-        return df.withColumn("responses", F.lit(None).cast("array<double>"))
-    joined = _same(df, F.broadcast(beta), keys) if len(fitted) <= 100_000 else _same(df, beta, keys)
+    seen = F.array(*[F.count_if(F.col(t) == a) > 0 for a in range(arms)]).alias("_seen")
+    systems = df.groupBy(*keys).agg(*sums, seen)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            beta = []
+            for r in frame.to_dict("records"):
+                a = np.array([[r[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
+                beta.append(np.linalg.lstsq(a, np.array([r[f"y{i}"] for i in range(k)], float), rcond=None)[0].tolist())
+            yield frame[[*keys, "_seen"]].assign(_beta=beta)
+
+    kept = S.StructType([*[df.schema[c] for c in keys], S.StructField("_seen", S.ArrayType(S.BooleanType())), S.StructField("_beta", S.ArrayType(S.DoubleType()))])
+    joined = _same(df, systems.mapInPandas(solve, kept), keys)
     b = F.col("_beta")
     base = b[0] + sum((b[i + 1] * F.col(c).cast("double") for i, c in enumerate(covs)), F.lit(0.0))
-    return joined.withColumn("responses", F.array(*[base + b[k - 1] * a for a in range(arms)])).drop("_beta")
+    return joined.withColumn("responses", F.array(*[F.when(F.col("_seen")[a], base + b[k - 1] * a) for a in range(arms)])).drop("_beta", "_seen")
 
 
-class FitError(ValueError):
-    """A model that cannot be fitted; names the trial or outcome."""
+CELLS = 200_000  # distinct covariate cells of one key up to which a task fits its model; larger keys are fitted by Spark, one by one
 
 
-def logistic_weights(df: DataFrame, covs: Sequence[str], t: str, arms: int, outcome: str = "outcome", penalty: float = 1.0) -> DataFrame:
-    """df with `weight` = 1 / P(T = t_i | x_i) from a multinomial logistic model with an L2 penalty, for one trial."""
+def multinomial(x: np.ndarray, t: np.ndarray, n: np.ndarray, arms: int, penalty: float = 1.0, rounds: int = 50) -> np.ndarray | None:
+    """Newton's method on the penalised likelihood of cells (x without a constant, arm, count): (arms, 1 + covariates)
+    coefficients, minus infinity for the constant of an arm that no cell has. None with a single arm."""
+    seen = np.unique(t)
+    if len(seen) < 2:
+        return None
+    x = np.column_stack([np.ones(len(x)), x])
+    own = (t[:, None] == seen[None, :]) * n[:, None]
+    m, k = len(seen), x.shape[1]
+    free = np.diag([0.0, *[1.0 / penalty] * (k - 1)])  # the constant bears no penalty
+    beta = np.zeros((m, k))
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b.T
+        top = z.max(1)
+        return float((n * (top + np.log(np.exp(z - top[:, None]).sum(1)))).sum() - (own * z).sum() + ((b @ free) * b).sum() / 2)
+
+    now = loss(beta)
+    for _ in range(rounds):
+        z = x @ beta.T
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = ((p * n[:, None] - own).T @ x + beta @ free).ravel()
+        hess = np.block([[x.T @ (x * (n * p[:, a] * ((a == b) - p[:, b]))[:, None]) + (a == b) * free for b in range(m)] for a in range(m)])
+        step = np.linalg.lstsq(hess, grad, rcond=None)[0].reshape(m, k)
+        size = 1.0
+        while loss(beta - size * step) > now + 1e-12 * abs(now) and size > 1e-6:
+            size /= 2
+        beta = beta - size * step
+        before, now = now, loss(beta)
+        if before - now <= 1e-12 * max(1.0, abs(now)):
+            break
+    out = np.zeros((arms, k))
+    out[:, 0] = -np.inf
+    for row, a in zip(beta, seen.astype(int), strict=True):
+        out[a] = row
+    return out
+
+
+def logistic_weights(df: DataFrame, keys: Sequence[str], covs: Sequence[str], t: str, arms: int, penalty: float = 1.0) -> DataFrame:
+    """df with `weight` = 1 / P(T = t_i | x_i) from a multinomial logistic model with an L2 penalty for each key, all keys at
+    once; NULL for a key with one arm, which tells nothing.
+
+    Rows are first counted by covariate cell and arm, so a task that fits a key holds its distinct cells, at most `CELLS`;
+    keys with more are fitted by Spark's own iterations over all rows. Weights are then expressions on the rows.
+    """
+    from functools import reduce
+
+    numbers = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(covs)]
+    cells = df.groupBy(*keys, *numbers, F.col(t).cast("int").alias("_t")).agg(F.count("*").alias("_n"))
+    wide = cells.groupBy(*keys).agg(F.count("*").alias("_cells")).where(F.col("_cells") > CELLS).select(*keys).collect()
+    big = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in keys], F.lit(True)) for r in wide], F.lit(False))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.dropna(subset=["_t", *[f"_x{i}" for i in range(len(covs))]])
+        if not len(frame):
+            return pd.DataFrame(columns=[*keys, "_beta"])
+        beta = multinomial(frame[[f"_x{i}" for i in range(len(covs))]].to_numpy(float), frame["_t"].to_numpy(int), frame["_n"].to_numpy(float), arms, penalty)
+        return frame[list(keys)].head(1).assign(_beta=[None if beta is None else beta.tolist()])
+
+    kept = S.StructType([*[df.schema[c] for c in keys], S.StructField("_beta", S.ArrayType(S.ArrayType(S.DoubleType())))])
+    betas = cells.where(~big).groupBy(*keys).applyInPandas(fit, kept)
+    rows = _same(df.where(~big), betas, keys, "left")
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in covs]]
+    score = lambda b: sum((b[i] * v for i, v in enumerate(x)), F.lit(0.0))
+    own = score(F.get(F.col("_beta"), F.col(t).cast("int")))
+    weight = F.aggregate(F.transform("_beta", lambda b: F.exp(score(b) - own)), F.lit(0.0), lambda a, v: a + v)
+    out = rows.withColumn("weight", weight).drop("_beta")
+    for r in wide:
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(r[c])) for c in keys], F.lit(True))
+        out = out.unionByName(_fitted_by_spark(df.where(same), covs, t, penalty))
+    return out
+
+
+def _fitted_by_spark(df: DataFrame, covs: Sequence[str], t: str, penalty: float) -> DataFrame:
+    """df with `weight` for one key of many distinct cells."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
     seen = [r[0] for r in df.select(t).distinct().orderBy(t).collect()]
     if len(seen) < 2:
-        raise FitError(f"{outcome}: only one arm was observed")
+        return df.withColumn("weight", F.lit(None).cast("double"))
     place = F.array_position(F.lit(seen), F.col(t)) - 1
     data = VectorAssembler(inputCols=list(covs), outputCol="_x").transform(df.withColumn("_t", place.cast("double")))
     n = data.count()

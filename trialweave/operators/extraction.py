@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import types as S
 
 from trialweave.functions import values as V
 from trialweave.functions.values import draw
+from trialweave.operators.prompts import known_answers
 from trialweave.operators.relational import resumed
 
 
@@ -152,3 +154,109 @@ def chained(df: DataFrame, stages: Sequence[tuple[str, Callable[[DataFrame], Dat
         if not n:
             break
     return df, log
+
+
+# --- answers as text, and the stages ----------------------------------------------------------------------------------
+
+
+class JsonExtractor:
+    """An extractor around a model that answers in text: JSON objects, with or without a fence around them."""
+
+    def __init__(self, complete: Callable[[list[str]], Iterable[str | None]]):
+        self.complete = complete
+
+    def answer(self, prompts: list[str]) -> list[dict | None]:
+        return [parsed(text) for text in self.complete(prompts)]
+
+
+def parsed(text: str | None) -> dict | None:
+    """The first JSON object of an answer; None where there is none."""
+    import json
+
+    start = (text or "").find("{")
+    if start < 0:
+        return None
+    try:
+        out = json.JSONDecoder().raw_decode(text[start:])[0]
+    except json.JSONDecodeError:
+        return None
+    return out if isinstance(out, dict) else None
+
+
+def keyword_lists(requests: DataFrame, keyword: str, prompt: Column, extractor: Extractor, field: str = "names", known: DataFrame | None = None) -> DataFrame:
+    """keyword, names: a list for each keyword, asked once for it; known ones are kept, and what fails has an empty list."""
+    todo = requests.withColumn("_p", prompt).groupBy(keyword).agg(F.min("_p").alias("_p"))
+    if known is not None:
+        todo = todo.join(known.select(keyword), keyword, "left_anti")
+    kind = S.StructType([requests.schema[keyword], S.StructField("names", S.ArrayType(S.StringType()))])
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            got = list(extractor.answer(frame["_p"].tolist()))
+            lists = [[str(x) for x in a[field]] if a and isinstance(a.get(field), list) else [] for a in got]
+            yield pd.DataFrame({keyword: frame[keyword], "names": lists})
+
+    new = todo.mapInPandas(ask, kind)
+    return new if known is None else known.select(keyword, "names").unionByName(new)
+
+
+def condition_forums(conditions: DataFrame, found: DataFrame, extractor: Extractor, known: DataFrame | None = None) -> DataFrame:
+    """condition, names: the forums that are relevant to each condition, from those that a search has found (`posts`, as
+    JSON). Conditions without any found are not asked."""
+    asked = conditions.select("condition").distinct().join(found, "condition")
+    return keyword_lists(asked, "condition", F.concat(F.lit("Which forums discuss "), "condition", F.lit("?\n"), "posts"), extractor, known=known)
+
+
+def synonyms(arms: DataFrame, extractor: Extractor, known: DataFrame | None = None) -> DataFrame:
+    """keyword, names: other names of each treatment, asked once for each."""
+    return keyword_lists(arms, "keyword", F.concat(F.lit("Other names of "), "keyword", F.lit(": "), F.coalesce("description", F.lit(""))), extractor, known=known)
+
+
+@dataclass
+class Stages:
+    """The extraction stages of one outcome, each DataFrame in and out: `key` and `report` and whatever came before.
+
+    covariates: name to answers; arms: names of the treatments.
+    """
+
+    extractor: Extractor
+    key: str
+    outcome: str
+    arms: Sequence[str]
+    covariates: dict[str, Sequence[str]]
+    votes: int = 25
+
+    def _ask(self, df: DataFrame, kind: str, fields: dict, more: Column | None = None, suffix: str = "") -> DataFrame:
+        prompt = F.concat(F.lit(f"{kind}\n{self.outcome}\n"), F.coalesce(more, F.lit("")) if more is not None else F.lit(""), F.lit("\n"), F.coalesce("report", F.lit("")))
+        return stage(df, extract(df, self.key, prompt, self.extractor, fields, suffix), self.key)
+
+    def relevance(self, df: DataFrame) -> DataFrame:
+        return relevant(self._ask(df, "relevance", {"is_relevant": ("Yes", "No")}))
+
+    def treatment_outcome(self, df: DataFrame) -> DataFrame:
+        got = self._ask(df, "ty_filter", {"treatment_taken": [*self.arms, "Unknown"], "outcome_category": ("Yes", "No", "Unknown")}, suffix="_filter")
+        return treatment_outcome_known(got, self.arms)
+
+    def knowns(self, df: DataFrame) -> DataFrame:
+        return self._ask(df, "knowns", {c: [*o, "Unknown"] for c, o in self.covariates.items()})
+
+    def imputations(self, df: DataFrame) -> DataFrame:
+        return self._ask(df, "imputations", {c: list(o) for c, o in self.covariates.items()}, known_answers(list(self.covariates)), "_imputed")
+
+    def sample_treatment_outcome(self, df: DataFrame) -> DataFrame:
+        given = known_answers([f"{c}_imputed" for c in self.covariates])
+        return self._ask(df, "sample_ty", {"treatment_taken": list(self.arms), "outcome_category": ("Yes", "No")}, given, "_sampled")
+
+    def inclusion(self, df: DataFrame) -> DataFrame:
+        """Rows with inclusion_probs, from several votes on each; a row without any vote goes."""
+        votes = vote_requests(df.select(self.key, "report"), self.votes).withColumn("_vote_key", F.concat_ws("#", self.key, "vote"))
+        prompt = F.concat(F.lit(f"inclusion\n{self.outcome}\n"), F.col("vote").cast("string"), F.lit("\n"), F.coalesce("report", F.lit("")))
+        said = extract(votes, "_vote_key", prompt, self.extractor, {"meets_inclusion_criteria": ("Yes", "No")})
+        got = vote_fractions(votes.join(said, "_vote_key"), self.key, "meets_inclusion_criteria")
+        return df.join(got.select(self.key, "inclusion_probs"), self.key)
+
+    def all(self) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+        return [
+            ("relevance", self.relevance), ("ty_filter", self.treatment_outcome), ("knowns", self.knowns),
+            ("imputations", self.imputations), ("sample_ty", self.sample_treatment_outcome), ("inclusion", self.inclusion),
+        ]

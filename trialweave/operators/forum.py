@@ -53,6 +53,11 @@ def registry(trial_aliases: DataFrame, trial_subreddits: DataFrame, trial_dates:
     return trial_aliases.join(trial_subreddits, "nct_id").join(trial_dates, "nct_id").select("subreddit", "alias", "nct_id", "cutoff").distinct()
 
 
+def latest_cutoffs(reg: DataFrame, key: str = "subreddit", cutoff: str = "cutoff", name: str = "_latest") -> DataFrame:
+    """The latest cut-off of any trial in each subreddit: records after it can matter to none."""
+    return reg.groupBy(key).agg(F.max(cutoff).alias(name))
+
+
 def usable_aliases(aliases: DataFrame, column: str = "alias") -> DataFrame:
     """Aliases long enough to be told from other words; the one short alias that is allowed stays."""
     return aliases.where((F.char_length(column) > 3) | (F.col(column) == T.SHORT_ALIAS))
@@ -93,8 +98,8 @@ def routed(records: DataFrame, reg: DataFrame, matcher, text: str = "text") -> D
     records: subreddit, date (timestamp), permalink and text. Adds nct_id and treatments_mentioned, the trial's own terms
     among those found. A record stands once for each trial.
     """
-    latest = reg.agg(F.max("cutoff")).first()[0]
-    spelled = records.where(F.col("date").isNotNull() & (F.col("date") <= F.lit(latest))).withColumn("_found", mentions(T.normalize_forum_udf(F.col(text)), matcher))
+    in_time = records.join(maybe_broadcast(latest_cutoffs(reg)), "subreddit").where(F.col("date").isNotNull() & (F.col("date") <= F.col("_latest"))).drop("_latest")
+    spelled = in_time.withColumn("_found", mentions(T.normalize_forum_udf(F.col(text)), matcher))
     hit = spelled.where(F.size("_found") > 0).withColumn("alias", F.explode("_found")).join(maybe_broadcast(reg), ["subreddit", "alias"])
     timely = hit.where(F.col("date") <= F.col("cutoff"))
     terms = timely.groupBy("nct_id", "permalink").agg(F.array_sort(F.collect_set("alias")).alias("treatments_mentioned"))

@@ -61,3 +61,18 @@ def totals(df: DataFrame, key: str, *sums: str) -> DataFrame:
     """Sums by key and over all, the whole as `total`."""
     out = df.rollup(key).agg(*[F.sum(s).alias(s) for s in sums], F.count("*").alias("n"), F.grouping(key).alias("_all"))
     return out.withColumn(key, F.when(F.col("_all") == 1, "total").otherwise(F.col(key))).drop("_all")
+
+
+def common(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that both have."""
+    return a.select(key).distinct().join(b.select(key), key, "left_semi")
+
+
+def remaining(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that the second lacks."""
+    return a.select(key).distinct().join(b.select(key), key, "left_anti")
+
+
+def sorted_distinct(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values in order; NULL is none."""
+    return df.select(value).where(F.col(value).isNotNull()).distinct().orderBy(value)

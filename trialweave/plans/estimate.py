@@ -17,6 +17,11 @@ def sized(df: DataFrame, keys: Sequence[str], most: int = 100_000) -> DataFrame:
     return df.join(n.select(*keys), list(keys), "left_semi")
 
 
+def complete(df: DataFrame, covs: Sequence[str], use_imputed_nones: bool = True) -> DataFrame:
+    """Rows to estimate from: all, or those alone that no covariate is missing in."""
+    return df if use_imputed_nones else df.dropna(subset=list(covs))
+
+
 def responses(df: DataFrame, method: str, keys: Sequence[str], covs: Sequence[str], t: str, y: str, arms: int, probs: str = "probs", binary: bool = True) -> DataFrame:
     if method in ("ipw", "oi") and not binary:
         raise ValueError(f"{method} takes binary outcomes only")
@@ -27,16 +32,18 @@ def responses(df: DataFrame, method: str, keys: Sequence[str], covs: Sequence[st
     if method == "mc_oi":
         return E.linear_responses(df, keys, covs, t, y, arms)
     if method == "mc_ipw":
-        return E.observed_responses(E.logistic_weights(df, covs, t, arms), t, y, "weight", arms)
+        return E.observed_responses(E.logistic_weights(df, keys, covs, t, arms), t, y, "weight", arms)
     raise ValueError(f"unknown method {method}")
 
 
 def estimate(
     df: DataFrame, method: str, keys: Sequence[str], covs: Sequence[str], t: str, y: str, arms: int, order: Sequence[str],
     inclusion: Column | None = None, replicates: int = 10, seed: int = 0, alpha: float = 0.05, effects: bool = False,
+    use_imputed_nones: bool = True,
 ) -> DataFrame:
     """Keys, arm (or arm_i, arm_j), pred, half_width, ci_lower, ci_upper. Every replicate is fitted anew, all at once."""
     weights = "weights" if method == "mc_ipw" else None
+    df = complete(df, covs, use_imputed_nones)
 
     def point(data: DataFrame, by: list[str], weight: Column | None) -> DataFrame:
         if method == "ipw":
@@ -52,11 +59,5 @@ def estimate(
     whole = point(df, keys, inclusion).withColumnRenamed("apo", "pred")
     drawn = E.bootstrap(df, keys, order, replicates, seed, [t] if method.startswith("mc") else [])
     again = drawn.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_k", "times")
-    if method == "mc_ipw":
-        parts = [point(again.where(F.col("replicate") == b), keys, inclusion).withColumn("replicate", F.lit(b)) for b in range(replicates)]
-        many = parts[0]
-        for p in parts[1:]:
-            many = many.unionByName(p)
-    else:
-        many = point(again, [*keys, "replicate"], inclusion)
+    many = point(again, [*keys, "replicate"], inclusion)
     return R.with_interval(whole, E.interval(many, name, "apo", alpha), name)

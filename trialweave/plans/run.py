@@ -48,8 +48,7 @@ def main(args: Sequence[str] | None = None) -> None:
     spark = session.build()
     if a.step == "study":
         got = study.build(registry.read_trials(spark, a.trials), a.conditions, a.ratio, a.effects)
-        for name in ("trials", "truth_apo", "truth_ate", "covariates", "funnel"):
-            getattr(got, name).write.mode("overwrite").parquet(f"{a.out}/{name}")
+        study.save(got, a.out)
     elif a.step == "curate":
         records = curate.contextualize(archives.read_archives(spark, a.archives))
         curate.curate(records, spark.read.parquet(a.registry)).write.mode("overwrite").partitionBy("nct_id").parquet(a.out)

@@ -53,3 +53,21 @@ def counts(study: Study) -> DataFrame:
         F.count_distinct("nct_id").alias("trials"), F.count_distinct("arm").alias("arms"), F.count_distinct("outcome").alias("outcomes"), F.count("*").alias("labels")
     )
 
+
+
+def unique_trials(studies: list[Study]) -> DataFrame:
+    """Distinct trials by split over several studies."""
+    rows = [x.trials.select("split", "nct_id") for x in studies]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.groupBy("split").agg(F.count_distinct("nct_id").alias("trials"))
+
+
+def save(study: Study, path: str) -> None:
+    for name in ("trials", "truth_apo", "truth_ate", "covariates", "funnel"):
+        getattr(study, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load(spark, path: str) -> Study:
+    return Study(*[spark.read.parquet(f"{path}/{name}") for name in ("trials", "truth_apo", "truth_ate", "covariates", "funnel")])

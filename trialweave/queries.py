@@ -7,7 +7,6 @@ covariates, the return flag for the treatment, a discount above 0.05 for the out
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from trialweave.operators import discretize as D
 from trialweave.operators import estimators as E
 from trialweave.operators import extraction as X
 from trialweave.operators import forum, relational, results, trials
+from trialweave.plans import estimate, study
 from trialweave.sources import archives, literature
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,14 +127,29 @@ def mc_oi_apo(spark, sf_dir):
     return E.potential_outcomes(df, KEYS, 3).select("trial", "arm", r6(F.col("apo")).alias("apo"))
 
 
+@query(f"""WITH {R_SQL},
+m AS (SELECT trial, avg(q) AS mq, avg(t) AS mt, avg(l_discount) AS md, covar_pop(q, q) AS qq, covar_pop(q, t) AS qt, covar_pop(t, t) AS tt,
+             covar_pop(q, l_discount) AS qd, covar_pop(t, l_discount) AS td FROM r WHERE t < 2 GROUP BY trial),
+b AS (SELECT *, (td * qq - qd * qt) / (qq * tt - qt * qt) AS bt FROM m)
+SELECT trial, arm, CASE WHEN arm < 2 THEN round(md + bt * (arm - mt), 6) END AS apo FROM b, arms""")
+def mc_oi_absent_arm(spark, sf_dir):
+    """No row reports the last arm, which so has no outcome, though a line could be drawn to it."""
+    df = E.linear_responses(reports(spark, sf_dir).where("t < 2"), KEYS, ["q"], "t", "l_discount", 3)
+    return E.potential_outcomes(df, KEYS, 3).select("trial", "arm", r6(F.col("apo")).alias("apo"))
+
+
+@query(f"""WITH {R_SQL.replace("o_orderpriority AS priority", "nullif(o_orderpriority, '5-LOW') AS priority")},
+full_cells AS (SELECT * FROM cells WHERE priority IS NOT NULL)
+SELECT trial, arm, CASE WHEN min(nt) > 0 THEN round(sum(n * nty / nt) / sum(n), 6) END AS apo FROM full_cells GROUP BY ALL""")
+def complete_covariates(spark, sf_dir):
+    df = reports(spark, sf_dir).withColumn("probs", F.array(1.0 - F.col("y"), F.col("y").cast("double"))).withColumn("priority", F.nullif("priority", F.lit("5-LOW")))
+    apo = E.oi_potential_outcomes(estimate.complete(df, COVS, use_imputed_nones=False), KEYS, COVS, "t", "probs", 3)
+    return apo.select("trial", "arm", r6(F.col("apo")).alias("apo"))
+
+
 @query()
 def mc_ipw_apo(spark, sf_dir):
-    df = reports(spark, sf_dir)
-    of_trial = [
-        E.logistic_weights(df.where(F.col("trial").eqNullSafe(F.lit(r.trial))), ["large", "q"], "t", 3, f"trial {r.trial}")
-        for r in df.select("trial").distinct().orderBy("trial").collect()  # each fit is one trial's, and trials are few
-    ]
-    weights = reduce(DataFrame.unionByName, of_trial) if of_trial else df.withColumn("weight", F.lit(1.0))
+    weights = E.logistic_weights(reports(spark, sf_dir), KEYS, ["large", "q"], "t", 3)
     got = E.observed_responses(weights, "t", "y", "weight", 3)
     return E.potential_outcomes(got, KEYS, 3, weights="weights").select("trial", "arm", F.round("apo", 3).alias("apo"))
 
@@ -188,19 +203,19 @@ def vote_requests(spark, sf_dir):
     return X.vote_requests(read(spark, sf_dir, "customer").select("c_custkey"))
 
 
-@query("""WITH e AS (SELECT vec_id, unnest(embedding[1:4]) AS s, generate_subscripts(embedding[1:4], 1) - 1 AS c FROM embeddings),
+@query("""WITH e AS (SELECT vec_id, unnest(embedding) AS s, generate_subscripts(embedding, 1) - 1 AS c FROM embeddings),
 x AS (SELECT vec_id, c, exp(s) AS e FROM e)
 SELECT vec_id, c::INT AS combo, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM x""")
 def softmax_rows(spark, sf_dir):
-    long = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("combo", "score"))
+    long = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("combo", "score"))
     probs = X.conditional_probabilities(long.withColumn("score", F.col("score").cast("double")), "vec_id")
     return probs.select("vec_id", F.posexplode("probs").alias("combo", "p")).withColumn("p", r6(F.col("p")))
 
 
-@query("SELECT vec_id, round(embedding[2]::DOUBLE + 2 * embedding[3]::DOUBLE, 6) + 0.0 AS expected FROM embeddings")
+@query("SELECT vec_id, round(sum(s::DOUBLE * j), 5) + 0.0 AS expected FROM (SELECT vec_id, unnest(embedding) AS s, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) GROUP BY vec_id")
 def expected_outcome(spark, sf_dir):
-    p = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    return read(spark, sf_dir, "embeddings").select("vec_id", r6(V.expected_index(p)).alias("expected"))
+    p = F.transform("embedding", lambda x: x.cast("double"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", (F.round(V.expected_index(p), 5) + 0.0).alias("expected"))
 
 
 @query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN value IS NULL THEN 'not_numeric' WHEN event_type IS DISTINCT FROM 'view' THEN 'other_basis'
@@ -332,12 +347,12 @@ def binary_endpoint(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", T.is_binary_endpoint(title).alias("is_binary"))
 
 
-@query(r"""SELECT doc_id, '/r/' || source || '/comments/' || doc_id || '/' || regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '_', 'g') || '/' AS post,
+@query(r"""SELECT doc_id, '/r/' || source || '/comments/' || doc_id || '/' || regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g') || '/' AS post,
  '/r/' || source || '/comments/' || doc_id || '/_/' || n_chars AS answer FROM documents""")
 def permalink_slug(spark, sf_dir):
     i, c = F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
     link = T.post_id(F.concat(F.lit("t3_"), i))
-    return read(spark, sf_dir, "documents").select("doc_id", T.submission_permalink(F.col("source"), link, F.left("text", F.lit(40))).alias("post"), T.comment_permalink(F.col("source"), link, c).alias("answer"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.submission_permalink(F.col("source"), link, F.col("text")).alias("post"), T.comment_permalink(F.col("source"), link, c).alias("answer"))
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL ELSE sha256('trialweave:forum:author:1:' || lower(role)) END AS author_key FROM conversations""")
@@ -365,11 +380,13 @@ def anonymize_patterns(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.anonymized(F.col("text")).alias("text"))
 
 
-@query(f"""SELECT entity, (len(regexp_extract_all(t, '<' || entity || '>')))::BIGINT AS n FROM (SELECT string_agg({_ANON}, ' ') AS t FROM documents), unnest(['EMAIL_ADDRESS', 'PHONE_NUMBER', 'CREDIT_CARD', 'IP_ADDRESS']) AS u(entity)""")
+_KINDS = [n for n, _ in T.PATTERN_ENTITIES]
+
+
+@query(f"""SELECT entity, (len(regexp_extract_all(t, '<' || entity || '>')))::BIGINT AS n FROM (SELECT string_agg({_ANON}, ' ') AS t FROM documents), unnest({_KINDS}) AS u(entity)""")
 def entity_counts(spark, sf_dir):
-    kinds = ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS")
-    sums = read(spark, sf_dir, "documents").agg(*[F.sum(T.entity_count(F.col("text"), k)).alias(k) for k in kinds])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("entity"), F.col(k).cast("long").alias("n")) for k in kinds])).alias("x")).select("x.*")
+    sums = read(spark, sf_dir, "documents").agg(*[F.sum(T.entity_count(F.col("text"), k)).alias(k) for k in _KINDS])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("entity"), F.col(k).cast("long").alias("n")) for k in _KINDS])).alias("x")).select("x.*")
 
 
 @query("SELECT source, ceil(9604.0 / (1 + 9603.0 / count(*)))::BIGINT AS n FROM documents GROUP BY source")
@@ -398,26 +415,32 @@ def alias_match(spark, sf_dir):
     return forum.alias_matches(docs, spark.createDataFrame([(a,) for a in ALIASES], "alias string"), "text", "doc_id")
 
 
-@query(f"SELECT doc_id, alias FROM documents, ({_ALIAS_SQL}) WHERE alias <> 'ldn' AND contains(lower(text), alias)")
+_HAS = "CASE WHEN alias = 'ldn' THEN regexp_matches({0}, '(^|[^\\p{{L}}\\p{{N}}])ldn($|[^\\p{{L}}\\p{{N}}])') ELSE contains({0}, alias) END"
+
+
+@query(f"SELECT doc_id, alias FROM documents, ({_ALIAS_SQL}) WHERE {_HAS.format('lower(text)')}")
 def alias_automaton(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    matcher = spark.sparkContext.broadcast(T.Matcher([a for a in ALIASES if a != "ldn"]))
+    matcher = spark.sparkContext.broadcast(T.Matcher(ALIASES))
     return docs.select("doc_id", F.explode(forum.mentions(F.col("text"), matcher)).alias("alias"))
 
 
-@query(f"""WITH a AS (SELECT alias, 'N' || (row_number() OVER (ORDER BY alias) % 3) AS nct_id FROM ({_ALIAS_SQL}) WHERE alias <> 'ldn'),
-c AS (SELECT * FROM (VALUES ('N0', 400), ('N1', 700), ('N2', 100000)) v(nct_id, cutoff))
-SELECT nct_id, doc_id, string_agg(alias, ',' ORDER BY alias) AS treatments FROM documents JOIN a ON contains(lower(text), alias) JOIN c USING (nct_id) WHERE doc_id <= cutoff GROUP BY ALL""")
+_SPELLED = r"regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(text)), '(\d)([a-z])', '\1 \2', 'g'), '([a-z])(\d)', '\1 \2', 'g'), '[-_/+,;:\s]+', ' ', 'g')"
+_ROUTE = {"N0": 400, "N1": 700, "N2": 100000}
+
+
+@query(f"""WITH a AS (SELECT alias, 'N' || (row_number() OVER (ORDER BY alias) % 3) AS nct_id FROM ({_ALIAS_SQL})),
+c AS (SELECT * FROM (VALUES ('N0', 400), ('N1', 700), ('N2', 100000)) v(nct_id, cutoff)),
+d AS (SELECT doc_id, {_SPELLED} AS t FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY source LIMIT 3))
+SELECT nct_id, doc_id, string_agg(alias, ',' ORDER BY alias) AS treatments FROM d JOIN a ON {_HAS.format('t')} JOIN c USING (nct_id) WHERE doc_id <= cutoff GROUP BY ALL""")
 def alias_route(spark, sf_dir):
-    names = sorted(a for a in ALIASES if a != "ldn")
-    cut = {"N0": 400, "N1": 700, "N2": 100000}
-    reg = spark.createDataFrame([(a, f"N{k % 3}", cut[f"N{k % 3}"]) for k, a in enumerate(names, 1)], "alias string, nct_id string, cutoff long")
     docs = read(spark, sf_dir, "documents")
-    plain = docs.select(F.lit("x").alias("subreddit"), F.col("doc_id").alias("date"), F.col("doc_id").cast("string").alias("permalink"), F.lower("text").alias("text"))
-    matcher = spark.sparkContext.broadcast(T.Matcher(names))
-    got = plain.withColumn("alias", F.explode(forum.mentions(F.col("text"), matcher))).join(F.broadcast(reg), "alias").where("date <= cutoff")
-    out = got.groupBy("nct_id", F.col("date").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_set("alias")), ",").alias("treatments"))
-    return out
+    named = spark.createDataFrame([(a, f"N{k % 3}", _ROUTE[f"N{k % 3}"]) for k, a in enumerate(sorted(ALIASES), 1)], "alias string, nct_id string, cutoff long")
+    forums = docs.select(F.col("source").alias("subreddit")).distinct().orderBy("subreddit").limit(3)  # the forums that the trials are about
+    reg = forum.registry(named.select("nct_id", "alias"), forums.withColumn("nct_id", F.explode(F.lit(sorted(_ROUTE)))), named.select("nct_id", "cutoff").distinct())
+    records = docs.select(F.col("source").alias("subreddit"), F.col("doc_id").alias("date"), F.col("doc_id").cast("string").alias("permalink"), "text")
+    got = forum.routed(records, reg, spark.sparkContext.broadcast(T.Matcher(ALIASES)))
+    return got.select("nct_id", F.col("date").alias("doc_id"), F.array_join("treatments_mentioned", ",").alias("treatments"))
 
 
 # --- joins, dedupe, dates ---------------------------------------------------------------------------------------------
@@ -581,9 +604,12 @@ def covariate_frequency(spark, sf_dir):
     return trials.covariate_frequency(read(spark, sf_dir, "part"), "p_name", "p_partkey")
 
 
-@query("SELECT count(DISTINCT p_brand) AS conditions, count(DISTINCT p_name) AS treatments, count(DISTINCT p_type) AS outcomes FROM part")
+@query("SELECT CASE WHEN p_size <= 25 THEN 'train' ELSE 'val' END AS split, count(DISTINCT p_brand) AS trials, count(DISTINCT p_name) AS arms, count(DISTINCT p_type) AS outcomes, count(*) AS labels FROM part GROUP BY 1")
 def distinct_counts(spark, sf_dir):
-    return read(spark, sf_dir, "part").agg(F.count_distinct("p_brand").alias("conditions"), F.count_distinct("p_name").alias("treatments"), F.count_distinct("p_type").alias("outcomes"))
+    part = read(spark, sf_dir, "part").select(F.col("p_brand").alias("nct_id"), F.when(F.col("p_size") <= 25, "train").otherwise("val").alias("split"), F.col("p_name").alias("arm"), F.col("p_type").alias("outcome"))
+    # a trial of the table stands in both splits, so its split is part of its id
+    part = part.withColumn("nct_id", F.concat_ws("/", "split", "nct_id"))
+    return study.counts(study.Study(part.select("nct_id", "split").distinct(), part.drop("split"), None, None, None))
 
 
 @query("SELECT p_partkey FROM part WHERE p_type = 'ECONOMY'")
@@ -612,14 +638,14 @@ def input_digest(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS v FROM events GROUP BY event_type")
 def stream_ingest(spark, sf_dir):
-    import tempfile
-    import uuid
-
+    from trialweave.source_queries import shared
     from trialweave.streaming import ingest
 
     schema = read(spark, sf_dir, "events").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
-    out, at = f"{shared}/stream-{uuid.uuid4().hex}", f"{shared}/offsets-{uuid.uuid4().hex}"
+    out, at = shared(spark, "stream"), shared(spark, "offsets")
     stream = ingest.stream_files(spark, f"{sf_dir}/events.parquet", schema, "parquet")
     stream.select("event_type", "value").writeStream.format("parquet").option("path", out).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("v"))
+
+
+from trialweave import source_queries  # noqa: E402, F401  (registers the queries of sources, stages and bookkeeping)

@@ -33,6 +33,6 @@ def schema() -> StructType:
     return StructType.fromDDL(SCHEMA)
 
 
-def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each JSON document; what a document lacks is NULL."""
-    return spark.read.schema(schema()).option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+def read_trials(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row for each JSON document, a file or, with `lines`, a line each; what a document lacks is NULL."""
+    return spark.read.schema(schema()).option("multiLine", str(not lines).lower()).option("recursiveFileLookup", "true").json(path)
