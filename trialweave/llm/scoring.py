@@ -30,10 +30,10 @@ from trialweave.llm import common
 
 FOLDS, HELD_OUT = 5, 1
 FREQUENT = 400_000  # words of the broadcast table, at most
-OWN_UNITS, CLASS_UNITS = 63, 128
-VOCABULARY = 24_000  # words with vectors of their own
-CONTEXT, WIDTH = 3, 24
-BATCH, NOISE, NOISE_MEMBERS, RATE = 4096, 48, 3, 0.05  # of the training: tokens of a step, draws for a step and for a token
+OWN_UNITS, CLASS_UNITS = 31, 100
+VOCABULARY = 20_000  # words with vectors of their own
+CONTEXT, WIDTH = 3, 16
+BATCH, NOISE, NOISE_MEMBERS, RATE = 8192, 32, 2, 0.05  # of the training: tokens of a step, draws for a step and for a token
 SAMPLE_DOCS = 1_500  # documents, at most, from which the neural model's tables get their first values
 SAMPLE_TOKENS = 300_000
 GATHERED = 65_536  # tokens that a task gathers and mixes before it trains on them
@@ -139,21 +139,21 @@ def contexts(rows: np.ndarray, starts: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-#: The tables, one below the other with a row of WIDTH numbers and a bias each: context rows, place matrices, units, members.
+#: The tables, one below the other with a row of WIDTH numbers and a bias each: context rows, place weights, units, members.
 PARTS = ("r", "c", "q", "m")
 
 
 def part_sizes(words: Words) -> list[int]:
-    return [words.n_rows, CONTEXT * WIDTH, len(words.mass), int(words.first[-1])]
+    return [words.n_rows, CONTEXT, len(words.mass), int(words.first[-1])]
 
 
 def first_tables(words: Words, seed: int = 3) -> np.ndarray:
-    """Small random vectors, places as parts of the identity, biases from the corpus."""
+    """Small random vectors, falling weights of places, biases from the corpus."""
     sizes = part_sizes(words)
     out = np.random.default_rng(seed).normal(0, 0.1, (sum(sizes), WIDTH + 1)).astype(np.float32)
     r, c, q, _ = np.cumsum(sizes)
     out[:, WIDTH] = 0
-    out[r:c, :WIDTH] = np.concatenate([np.eye(WIDTH) / (j + 1) for j in range(CONTEXT)])
+    out[r:c, :WIDTH] = 1 / np.arange(1, CONTEXT + 1)[:, None]
     out[c:q, WIDTH] = np.log(np.maximum(words.mass, 0.5) / words.mass.sum())
     of = np.repeat(np.arange(CLASS_UNITS), np.diff(words.first))
     out[q:, :WIDTH] *= 0.3
@@ -163,7 +163,7 @@ def first_tables(words: Words, seed: int = 3) -> np.ndarray:
 
 def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values and how often each stands there."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
     at = rows[order]
     cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
     return at[cuts], np.add.reduceat(values[order], cuts, axis=0), np.diff(np.append(cuts, len(at)))
@@ -208,9 +208,10 @@ class Trainer:
     def _batch(self, units: np.ndarray, members: np.ndarray, ctx: np.ndarray) -> None:
         t, n, w = self.tables, len(units), WIDTH
         r0, c0, q0, m0 = (self.begin[k] for k in PARTS)
-        vectors = [t[r0 + ctx[:, j], :w] for j in range(CONTEXT)]
-        places = [t[c0 + j * w : c0 + (j + 1) * w, :w] for j in range(CONTEXT)]
-        hidden = sum(v @ c for v, c in zip(vectors, places, strict=True))
+        rows = r0 + ctx
+        vectors, places = t[rows], t[c0 : c0 + CONTEXT]
+        vectors[:, :, w] = 0
+        hidden = np.einsum("ijk,jk->ik", vectors[:, :, :w], places[:, :w])
         drawn = self.rng.choice(len(self.p), NOISE, p=self.p)
         own, noise = t[q0 + units], t[q0 + drawn]
         good = np.einsum("ij,ij->i", hidden, own[:, :w]) + own[:, w] - self.offset[units]
@@ -234,16 +235,13 @@ class Trainer:
             e[:, 0] += 1
             g_hidden[inside] += np.einsum("ik,ikj->ij", e, target[:, :, :w])
             todo.append((m0 + picked.ravel(), (e[:, :, None] * both[inside][:, None, :]).reshape(-1, w + 1)))
-        zero = np.zeros((n, 1), np.float32)
-        for j in range(CONTEXT):
-            todo.append((r0 + ctx[:, j], np.concatenate([g_hidden @ places[j].T, zero], 1)))
-            g_c = np.concatenate([vectors[j].T @ g_hidden, np.zeros((w, 1), np.float32)], 1)
-            self._step(np.arange(c0 + j * w, c0 + (j + 1) * w), g_c, np.full(w, n))
-        for begin in (q0, m0, r0):
-            part = [(rows, g) for rows, g in todo if rows[0] >= begin]
-            todo = [(rows, g) for rows, g in todo if rows[0] < begin]
+        g_hidden = np.concatenate([g_hidden, np.zeros((n, 1), np.float32)], 1)
+        self._step(np.arange(c0, c0 + CONTEXT), np.einsum("ijk,ik->jk", vectors, g_hidden), np.full(CONTEXT, n))
+        self._step(*_summed(rows.ravel(), (g_hidden[:, None, :] * places[None]).reshape(-1, w + 1)))
+        for begin in (q0, m0):
+            part = [(at, g) for at, g in todo if (at[0] >= m0) == (begin == m0)]
             if part:
-                self._step(*_summed(np.concatenate([rows for rows, _ in part]), np.concatenate([g for _, g in part])))
+                self._step(*_summed(np.concatenate([at for at, _ in part]), np.concatenate([g for _, g in part])))
 
 
 class Coded:
@@ -334,21 +332,32 @@ def build(names: list[bytes], counts: np.ndarray, total: int, distinct: int, sam
             coded.trained(trainer, docs)
         tables = further(names, words, trainer.tables) if further else trainer.tables
     r, c, q, m = np.split(tables, np.cumsum(part_sizes(words))[:-1])
-    context = np.stack([r[:, :WIDTH] @ c[j * WIDTH : (j + 1) * WIDTH, :WIDTH] for j in range(CONTEXT)])
+    context = np.stack([r[:, :WIDTH] * c[j, :WIDTH] for j in range(CONTEXT)])
     # what has no word at all takes no probability
     bias = np.where(words.mass > 0, q[:, WIDTH], -1e4).astype(np.float32)
     member_bias = np.where(words.members > 0, m[:, WIDTH], -1e4).astype(np.float32)
     return Model(b"\n".join(names), counts, words, float(np.log10(words.mass[0])), context, q[:, :WIDTH], bias, m[:, :WIDTH], member_bias)
 
 
-def _log_softmax_at(hidden: np.ndarray, target: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax of hidden @ target + bias at one place of each row."""
-    scores = hidden @ target
-    scores += bias
-    scores -= scores.max(1, keepdims=True)
-    got = scores[np.arange(len(at)), at].astype(np.float64)
-    np.exp(scores, out=scores)
-    return got - np.log(scores.sum(1, dtype=np.float64))
+class Softmax:
+    """Natural logs of a softmax at one place of each row, by a matrix product that holds the biases."""
+
+    def __init__(self, target: np.ndarray, bias: np.ndarray):
+        self.table = np.ascontiguousarray(np.concatenate([target, bias[:, None]], 1).T)
+        self.length = float(np.sqrt((target**2).sum(1)).max())
+        self.top = float(bias.max())
+
+    def logs(self, hidden: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """hidden has a last column of ones."""
+        scores = hidden @ self.table
+        got = scores[np.arange(len(at)), at].astype(np.float64)
+        if np.sqrt((hidden**2).sum(1).max()) * self.length + self.top < 60:  # no score is too large for its exponential
+            sums = np.exp(scores, out=scores).sum(1)
+            if sums.min() > 1e-20:
+                return got - np.log(sums)
+            scores = hidden @ self.table
+        highest = scores.max(1)
+        return got - highest - np.log(np.exp(scores - highest[:, None]).sum(1))
 
 
 class Scorer:
@@ -357,9 +366,9 @@ class Scorer:
     def __init__(self, model: Model):
         common.one_thread()
         self.model, self.coded = model, Coded(model.names, model.words)
-        self.turned = np.ascontiguousarray(model.target.T)
         first = model.words.first
-        self.classes = [(np.ascontiguousarray(model.member[a:b].T), model.member_bias[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+        self.units = Softmax(model.target, model.bias)
+        self.classes = [Softmax(model.member[a:b], model.member_bias[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
         self.log_counts = np.append(np.log10(model.counts + 0.5), 0.0)
         self.share = np.append(model.words.share, -model.rare_log)
 
@@ -369,20 +378,18 @@ class Scorer:
         m, coded = self.model, self.coded
         units, members = coded.unit[numbers], coded.member[numbers]
         out = np.empty(len(units))
-        hidden = np.empty((len(units), WIDTH), np.float32)
+        hidden = np.ones((len(units), WIDTH + 1), np.float32)
         for a in range(0, len(units), block):
             h = ctx[a : a + block]
-            hidden[a : a + block] = sum(m.context[j][h[:, j]] for j in range(CONTEXT))
-            out[a : a + block] = _log_softmax_at(hidden[a : a + block], self.turned, m.bias, units[a : a + block])
+            hidden[a : a + block, :WIDTH] = sum(m.context[j][h[:, j]] for j in range(CONTEXT))
+            out[a : a + block] = self.units.logs(hidden[a : a + block], units[a : a + block])
         inside = np.flatnonzero(members >= 0)
         inside = inside[np.argsort(units[inside], kind="stable")]
-        of = units[inside] - 1 - OWN_UNITS
-        for rows in np.split(inside, np.flatnonzero(np.diff(of)) + 1) if len(inside) else ():
+        for rows in np.split(inside, np.flatnonzero(np.diff(units[inside])) + 1) if len(inside) else ():
             k = int(units[rows[0]]) - 1 - OWN_UNITS
-            target, bias = self.classes[k]
             for a in range(0, len(rows), block):
                 some = rows[a : a + block]
-                out[some] += _log_softmax_at(hidden[some], target, bias, members[some] - m.words.first[k])
+                out[some] += self.classes[k].logs(hidden[some], members[some] - m.words.first[k])
         return out / np.log(10) + self.share[numbers]
 
     def score(self, docs: list[list[bytes]]) -> tuple:
