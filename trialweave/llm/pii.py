@@ -23,7 +23,8 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from trialweave.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 20  # turns of scoring patterns from instances and instances from patterns, at most: they end once nothing changes
+ROUNDS = 20  # turns of scoring patterns from instances and instances from patterns, at most: they end once scores settle
+SETTLED = 1e-3  # mean change of the patterns' confidence by a turn below which they have
 LEAST_INSTANCES = 5  # distinct instances of a pattern
 LEAST_CONFIDENCE = 0.6
 BROADCAST_PATTERNS = 200_000  # patterns of less than 100 bytes up to which they are sent to all workers; beyond it they are joined
@@ -240,15 +241,17 @@ def pattern_instances(docs: DataFrame, contexts: frozenset[bytes] = frozenset())
 
 
 def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """pattern, kind, confidence: both sides of the graph scored in turns until the patterns above the thresholds and
-    their confidences stay, seeds at 1 throughout.
+    """pattern, kind, confidence: both sides of the graph scored in turns until the patterns above the thresholds
+    stay and their confidences settle, seeds at 1 throughout.
 
     A pattern's confidence is the mean score of its instances for its best kind, with one unknown instance added; an
     instance takes the confidence of its best pattern. Patterns with too few instances leave the graph at once, instances
     without a score ("1", a year) never meet a pattern, and sides of joins that are known to be few are broadcast.
     """
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("instances")).where(F.col("instances") >= LEAST_INSTANCES)
-    useful = common.staged(edges.select("pattern", "instance").join(sizes, "pattern"), "useful")
+    sizes = common.staged(sizes, "sizes")
+    wanted = F.broadcast(sizes) if sizes.count() <= BROADCAST_INSTANCES else sizes
+    useful = common.staged(edges.select("pattern", "instance").join(wanted, "pattern"), "useful")
     seeds = edges.groupBy("instance").agg(F.max("seed").alias("kind")).where("kind > 0").withColumn("score", F.lit(1.0))
     seeds = common.staged(seeds.join(useful.select("instance"), "instance", "left_semi"), "seeds")
     few = useful.count() <= BROADCAST_INSTANCES  # and so are the instances that have a score
@@ -264,7 +267,7 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if rounds == 1:
             break
         state = patterns.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first()
-        if before is not None and state[0] == before[0] and abs(state[1] - before[1]) <= 1e-9 * max(1, state[0]):
+        if before is not None and state[0] == before[0] and abs(state[1] - before[1]) <= SETTLED * state[0]:
             break
         before = state
         named = patterns.select("pattern", F.col("kind").alias("by_kind"), "confidence")
