@@ -508,7 +508,7 @@ def test_context_beats_the_unigram_on_held_out_documents(spark):
 def test_rows_of_tables_are_summed_by_hand():
     rng = np.random.default_rng(5)
     rows, values = rng.integers(0, 9, 60), rng.normal(size=(60, 3))
-    at, sums, times = scoring._summed(rows, values)
+    at, sums, times = scoring._summed(rows, lambda order: values[order])
     assert at.tolist() == sorted(set(rows.tolist()))
     assert all(np.allclose(s, values[rows == k].sum(0)) and n == (rows == k).sum() for k, s, n in zip(at, sums, times, strict=True))
 

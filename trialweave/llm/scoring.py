@@ -36,6 +36,7 @@ CONTEXT, WIDTH = 3, 16
 BATCH, NOISE, NOISE_MEMBERS, RATE = 8192, 32, 2, 0.05  # of the training: tokens of a step, draws for a step and for a token
 SAMPLE_DOCS = 1_500  # documents, at most, from which the neural model's tables get their first values
 SAMPLE_TOKENS = 300_000
+FIRST_BATCH, GROWS = 512, 32  # tokens of the first steps, and after how many steps they double, up to BATCH
 GATHERED = 65_536  # tokens that a task gathers and mixes before it trains on them
 FLUSH_WORDS = 200_000  # distinct words that a task counts before it hands them on
 CLIP = 1_000  # counts from here on are one class when the table's least count is sought
@@ -161,12 +162,12 @@ def first_tables(words: Words, seed: int = 3) -> np.ndarray:
     return out
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sums of their values and how often each stands there."""
+def _summed(rows: np.ndarray, values: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sums of their values and how often each stands there; `values` gives them in an order."""
     order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
     at = rows[order]
     cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return at[cuts], np.add.reduceat(values[order], cuts, axis=0), np.diff(np.append(cuts, len(at)))
+    return at[cuts], np.add.reduceat(values(order), cuts, axis=0), np.diff(np.append(cuts, len(at)))
 
 
 class Trainer:
@@ -190,14 +191,17 @@ class Trainer:
         self.low, self.width = edge[:-1], np.diff(edge)
         of = np.repeat(np.arange(CLASS_UNITS), np.diff(words.first))
         self.of, self.member_offset = of, np.log(NOISE_MEMBERS * mass / self.width[of]).astype(np.float32)
-        self.rng, self.rate = np.random.default_rng(seed), rate
+        self.rng, self.rate, self.steps = np.random.default_rng(seed), rate, 0
 
     def run(self, units: np.ndarray, members: np.ndarray, ctx: np.ndarray) -> None:
         """One pass over the tokens in mixed order."""
         order = self.rng.permutation(len(units))
-        for at in range(0, len(order), BATCH):
-            rows = order[at : at + BATCH]
+        at = 0
+        while at < len(order):
+            rows = order[at : at + min(BATCH, FIRST_BATCH << min(self.steps // GROWS, 20))]
             self._batch(units[rows], members[rows], ctx[rows])
+            at += len(rows)
+            self.steps += 1
 
     def _step(self, rows: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
         s = self.squares[rows] + g * g
@@ -209,7 +213,7 @@ class Trainer:
         t, n, w = self.tables, len(units), WIDTH
         r0, c0, q0, m0 = (self.begin[k] for k in PARTS)
         rows = r0 + ctx
-        vectors, places = t[rows], t[c0 : c0 + CONTEXT]
+        vectors, places = t[rows], t[c0 : c0 + CONTEXT].copy()
         vectors[:, :, w] = 0
         hidden = np.einsum("ijk,jk->ik", vectors[:, :, :w], places[:, :w])
         drawn = self.rng.choice(len(self.p), NOISE, p=self.p)
@@ -221,7 +225,9 @@ class Trainer:
         g_hidden = e_good[:, None] * own[:, :w] + e_bad @ noise[:, :w]
         one = np.ones((n, 1), np.float32)
         both = np.concatenate([hidden, one], 1)
-        todo = [(q0 + units, e_good[:, None] * both), (q0 + drawn, e_bad.T @ both)]
+        picked_units = np.concatenate([units, drawn])
+        g_drawn = e_bad.T @ both
+        steps = [_summed(q0 + picked_units, lambda order: np.concatenate([e_good[:, None] * both, g_drawn])[order])]
         inside = np.flatnonzero(members >= 0)
         if len(inside):
             k = self.of[members[inside]]
@@ -234,14 +240,13 @@ class Trainer:
             e = -1 / (1 + np.exp(-np.clip(score, -30, 30)))
             e[:, 0] += 1
             g_hidden[inside] += np.einsum("ik,ikj->ij", e, target[:, :, :w])
-            todo.append((m0 + picked.ravel(), (e[:, :, None] * both[inside][:, None, :]).reshape(-1, w + 1)))
+            wide, flat, per = both[inside], e.ravel(), picked.shape[1]
+            steps.append(_summed(m0 + picked.ravel(), lambda order: flat[order][:, None] * wide[order // per]))
         g_hidden = np.concatenate([g_hidden, np.zeros((n, 1), np.float32)], 1)
         self._step(np.arange(c0, c0 + CONTEXT), np.einsum("ijk,ik->jk", vectors, g_hidden), np.full(CONTEXT, n))
-        self._step(*_summed(rows.ravel(), (g_hidden[:, None, :] * places[None]).reshape(-1, w + 1)))
-        for begin in (q0, m0):
-            part = [(at, g) for at, g in todo if (at[0] >= m0) == (begin == m0)]
-            if part:
-                self._step(*_summed(np.concatenate([at for at, _ in part]), np.concatenate([g for _, g in part])))
+        steps.append(_summed(rows.ravel(), lambda order: g_hidden[order // CONTEXT] * places[order % CONTEXT]))
+        for step in steps:
+            self._step(*step)
 
 
 class Coded:
@@ -402,9 +407,10 @@ class Scorer:
         starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
         logs = self.logs(k, contexts(self.coded.row[k], starts, self.coded.first))
         n = len(docs)
-        rare: list[Counter] = [Counter() for _ in docs]
-        for j in np.flatnonzero(~known).tolist():
-            rare[of[j]][flat[j]] += 1
+        places = np.flatnonzero(~known)
+        cuts = np.searchsorted(of[places], np.arange(n + 1)).tolist()
+        places = places.tolist()
+        rare = [Counter(map(flat.__getitem__, places[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return sizes, np.bincount(of, known, n).astype(np.int64), np.bincount(of, self.log_counts[k], n), np.bincount(of, logs, n), rare
 
 
@@ -428,6 +434,13 @@ def learn(docs: DataFrame, frequent: int, sample_docs: int) -> tuple[Model, Data
     return build(words, c, total, distinct, sample, partial(train_on_all, training)), counts, least, total, distinct
 
 
+def _lists(rare: list[Counter]) -> pa.Array:
+    """The words and numbers of each document as a list of structs."""
+    ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in rare]))).astype(np.int32))
+    words, numbers = pa.array([w for x in rare for w in x], pa.binary()), pa.array([k for x in rare for k in x.values()], pa.int64())
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([words, numbers], ["word", "n"]))
+
+
 SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_frequent long, base double, model double, rare array<struct<word:binary,n:long>>"
 
 
@@ -446,13 +459,12 @@ def scores(docs: DataFrame, frequent: int = FREQUENT, sample_docs: int = SAMPLE_
         if _workers.get("model") is not shipped.value:
             _workers.update(model=shipped.value, scorer=Scorer(shipped.value))
         scorer, rid = _workers["scorer"], TaskContext.get().partitionId() << 40
-        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
         for batch in common.sliced(batches, 256):
             sizes, n, base, logs, rare = scorer.score([[*common.space_words(t), END] for t in common.texts(batch)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.arange(rid, rid + len(sizes))), batch.column(0), batch.column(2), pa.array(sizes), pa.array(n), pa.array(base), pa.array(logs),
-                    pa.array([[{"word": w, "n": k} for w, k in x.items()] for x in rare], kind),
+                    _lists(rare),
                 ],
                 ["rid", "doc_id", "held_out", "n_tokens", "n_frequent", "base", "model", "rare"],
             )
