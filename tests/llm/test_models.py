@@ -305,9 +305,10 @@ def near_rows():
     return rows + ODD
 
 
-@pytest.mark.parametrize("k,percent,block", [(3, 85, 1024), (5, 80, 4)])
-def test_components_equal_brute_force(spark, monkeypatch, k, percent, block):
+@pytest.mark.parametrize("k,percent,block,hot", [(3, 85, 1024, 1024), (5, 80, 4, 6), (3, 85, 4, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, k, percent, block, hot):
     monkeypatch.setattr(near_duplicates, "BLOCK", block)
+    monkeypatch.setattr(near_duplicates, "HOT_KEYS", hot)
     rows = near_rows()
     got = near_duplicates.near_duplicates(docs_of(spark, rows), k, percent).collect()
     assert Counter(tuple(r) for r in got) == Counter(brute_components(rows, k, percent))
@@ -326,6 +327,16 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
     assert near_duplicates.deduplicate(docs.limit(0)).count() == 0
 
 
+def test_hot_keys_join_as_others_do(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(3000)] + [(k, k) for k in range(2, 2002)], "key long, x long")
+    table = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("y")).where("key % 7 > 0")
+    for how in ("left", "inner"):
+        got = near_duplicates.by_share(rows, table, "key", how)
+        want = rows.join(table.drop("n"), "key", how)
+        assert Counter(map(tuple, got.select("key", "x", "y").collect())) == Counter(map(tuple, want.select("key", "x", "y").collect()))
+    assert near_duplicates.by_share(rows.limit(0), table.limit(0), "key").count() == 0
+
+
 def test_sketches_never_miss_a_similar_pair():
     rng = np.random.default_rng(4)
     for n in (5, 40, 300, 511, 900, 5000):

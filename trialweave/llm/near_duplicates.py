@@ -34,6 +34,7 @@ CACHED = 500_000  # words whose hashes a worker keeps
 DOUBT = math.log(1e-6)  # log of the chance up to which unsure pairs of two trees wait for the first ones to be confirmed
 FURTHER = 64  # unsure pairs of two components that a group sends on in the second round
 GROWTH = 16  # times as many in every round after it
+HOT_KEYS = 1024  # keys with more than one in so many rows, of which there are fewer than that, are joined by a broadcast
 BROADCAST_KEYS = 2_000_000  # keys of rows whose sets are needed, up to which they are broadcast
 
 _workers: dict = {}
@@ -300,6 +301,19 @@ def further_edges(root: np.ndarray, blocks: np.ndarray, level, s1, s2, sketch, p
     return np.stack([x, y], 1)[place < most], bool((place >= most).any())
 
 
+def by_share(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """`rows` with the columns of `table`, which has one row a key and in `n` how many of the rows bear it.
+
+    Keys with more than one in HOT_KEYS of the rows are fewer than HOT_KEYS, whatever the input: their rows meet a
+    broadcast of them where they lie. No key of the shuffle that is left for the others holds more than that share.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_KEYS > total
+    hot = F.broadcast(table.where(is_hot).drop("n"))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot).drop("n"), key, how)
+    return rows.join(hot, key).unionByName(others)
+
+
 def candidate_edges(classes: DataFrame, percent: int, waiting: DataFrame | None = None, roots: DataFrame | None = None, most: int = 0) -> DataFrame:
     """Distinct pairs (a, b) of classes to confirm, and rows of nulls with the group `g` that has more.
 
@@ -309,10 +323,11 @@ def candidate_edges(classes: DataFrame, percent: int, waiting: DataFrame | None
     h = F.xxhash64("cls")
     # buckets of the same members, as several bands give them, meet once
     buckets = member.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(h).alias("x"), F.min(h).alias("lo"), F.max(h).alias("hi")).where("size > 1")
-    buckets = buckets.groupBy("size", "x", "lo", "hi").agg(F.min("band").alias("band")).select("band", "size")
+    buckets = buckets.groupBy("size", "x", "lo", "hi").agg(F.min("band").alias("band")).select("band", "size", F.col("size").alias("n"))
+    buckets = common.staged(buckets, "buckets")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     met = (
-        member.join(buckets, "band")
+        by_share(member, buckets, "band", "inner")
         .select("cls", "band", blocks.alias("blocks"), F.pmod(h, blocks).cast("int").alias("block"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("cls", "block", F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("g"))
@@ -417,17 +432,18 @@ def components(edges: DataFrame) -> DataFrame | None:
     labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("to"))
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"), F.count("*").alias("n")).select("node", F.least("node", "near").alias("to"), "n")
         up = common.staged(up, "up")
         if labels is None:
             labels = up.select("node", F.col("to").alias("root"))
         else:
-            labels = labels.join(up.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            sizes = labels.groupBy("root").agg(F.count("*").alias("n")).join(up.select(F.col("node").alias("root"), "to"), "root", "left")
+            labels = by_share(labels, common.staged(sizes, "sizes"), "root").select("node", F.coalesce("to", "root").alias("root"))
             labels = common.staged(labels, "labels")
+        ends = common.staged(by_share(edges, up.select(F.col("node").alias("a"), F.col("to").alias("x"), "n"), "a"), "ends")
+        ends = by_share(ends, up.select(F.col("node").alias("b"), F.col("to").alias("y"), "n"), "b")
         edges = (
-            edges.join(up.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-            .join(up.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
-            .where("x <> y")
+            ends.where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
@@ -462,22 +478,23 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
 
 
 def classified(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Signed rows, and each class with its component's smallest doc_id."""
+    """Signed rows, and each class with its component's smallest doc_id and its number of rows, `n`."""
     signed = common.staged(signatures(docs, k, bands_for(percent)), "signed")
     classes = common.staged(
         signed.where("cls is not null")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), *[F.first(c).alias(c) for c in ("bands", "level", "s1", "s2", "sketch")]),
+        .agg(F.min("doc_id").alias("least_id"), F.min("rk").alias("rk"), F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("bands", "level", "s1", "s2", "sketch")]),
         "classes",
     )
     roots = linked(docs, classes, k, percent)
-    named = classes.select("cls", "least_id")
+    named = classes.select("cls", "least_id", "n")
     if roots is None:
-        return signed, named.select("cls", F.col("least_id").alias("component_id"))
-    rooted = named.join(roots.withColumnRenamed("node", "cls"), "cls")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    many = rooted.join(least, "root").select("cls", "component_id")
-    return signed, named.join(many, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"))
+        return signed, named.select("cls", F.col("least_id").alias("component_id"), "n")
+    rooted = named.select("cls", "least_id").join(roots.withColumnRenamed("node", "cls"), "cls")
+    least = common.staged(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "least")
+    many = by_share(rooted, least, "root").select("cls", "component_id")
+    of = named.join(many, "cls", "left").select("cls", F.coalesce("component_id", "least_id").alias("component_id"), "n")
+    return signed, common.staged(of, "components")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -488,9 +505,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     and its documents are kept; beside other ids a null id isn't kept. Other columns are ignored.
     """
     signed, of = classified(docs, k, percent)
-    out = signed.select("doc_id", "n_shingles", "cls").join(of, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rows = signed.select("doc_id", "n_shingles", "cls")
+    out = by_share(rows.where("cls is not null"), of, "cls").select("doc_id", "n_shingles", "component_id")
+    alone = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return out.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -500,7 +518,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of equal rows one. Texts without words all stay.
     """
     signed, of = classified(docs, k, percent)
-    roots = signed.where("cls is not null").join(of, "cls").select("component_id", "doc_id", "rk", "cls")
+    roots = by_share(signed.where("cls is not null").select("cls", "doc_id", "rk"), of, "cls")
     best = roots.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("cls")).alias("of")).agg(
         F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("d"), "rk")).alias("best")
     )
