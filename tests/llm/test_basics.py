@@ -181,6 +181,18 @@ def test_the_broadcast_table_comes_from_all_documents(spark, monkeypatch):
     assert [len(tok.encode(w, add_special_tokens=False).ids) for w in words] == sizes.tolist()
 
 
+def test_the_broadcast_table_counts_every_document(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "WARM_DOCS", 40)
+    rows = [(i, f"head pair{i // 2} tens{i // 10}" + " fifties" * (i % 50 == 7)) for i in range(400)] + [(None, "last  pair0"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    path = P.path("byte_bpe_50k.json")
+    want = Counter(x for _, t in rows if t is not None for x in token_counts.all_pieces(t))
+    assert set(token_counts.frequent_lengths(docs, path)[0].decode().split("\n")) == {x for x, n in want.items() if n > 1}
+    monkeypatch.setattr(token_counts, "FREQUENT", 30)
+    got = token_counts.frequent_lengths(docs, path)[0].decode().split("\n")
+    assert got == sorted(want, key=lambda x: (-want[x], x))[:30]
+
+
 def test_word_ids_equal_the_library():
     words = packing.WordIds(P.path("word_bpe_49k.json"))
     rng = random.Random(6)

@@ -1,7 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 The first tier is a broadcast table of frequent pre-tokens and their token counts, the second a cache in each Python
-worker that the tokenizer itself fills. No pre-token is ever shuffled, and both tiers are bounded.
+worker that the tokenizer itself fills. Pre-tokens are shuffled for the counts behind that table alone, once for each
+task; the lookup shuffles none, and both tiers are bounded.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from trialweave.llm import common
 
 FREQUENT = 50_000  # pre-tokens in the broadcast table
-WARM_DOCS = 4_000  # documents, drawn over the whole table, whose pre-tokens fill that table; it changes the speed alone
+WARM_DOCS = 4_000  # documents, at most, that a task counts before it hands their pre-tokens on; all documents are counted
 CACHED = 300_000  # pre-tokens that a worker keeps before it starts again from the broadcast table
 LONG = 100  # characters of a pre-token from which on it is encoded anew each time
 
@@ -91,21 +92,19 @@ class Lengths(dict):
 
 
 def frequent_lengths(docs: DataFrame, path: str) -> tuple[bytes, np.ndarray]:
-    """The table to broadcast: the commonest pre-tokens of a share of all documents, joined, and their token counts.
+    """The table to broadcast: the commonest pre-tokens of all documents, joined, and their token counts.
 
-    The share is drawn by a hash over the whole table; its pre-tokens are counted and encoded by executors.
+    Executors count the pre-tokens of every document and encode those that are kept.
     """
-    rows = docs.select("doc_id", "text").where("text is not null")
-    share = max(1, docs.count() // WARM_DOCS)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select(F.col("text").cast("binary").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.sliced(batches):
+        for batch in common.sliced(batches, WARM_DOCS):
             seen: Counter = Counter()
             for raw in common.texts(batch):
                 text = raw.decode("utf-8", "replace")
-                seen.update(x for x in pre_tokens(text) or all_pieces(text) if len(x) < LONG and "\n" not in x)
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["piece", "n"])
+                seen.update(pre_tokens(text) or all_pieces(text))
+            kept = [x for x in seen if len(x) < LONG and "\n" not in x]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([seen[x] for x in kept], pa.int64())], ["piece", "n"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
@@ -113,7 +112,8 @@ def frequent_lengths(docs: DataFrame, path: str) -> tuple[bytes, np.ndarray]:
             got = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.ids) for x in got], pa.int64())], ["piece", "length"])
 
-    counted = chosen.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    texts = docs.where("text is not null").select(F.col("text").cast("binary").alias("text"))
+    counted = texts.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = counted.where("n > 1").orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").mapInArrow(encode, "piece string, length long").toArrow()
     return "\n".join(top.column("piece").to_pylist()).encode(), top.column("length").to_numpy().astype(np.uint32)
 
