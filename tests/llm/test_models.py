@@ -524,6 +524,57 @@ def test_rows_of_tables_are_summed_by_hand():
     assert all(np.allclose(s, values[rows == k].sum(0)) and n == (rows == k).sum() for k, s, n in zip(at, sums, times, strict=True))
 
 
+def test_only_rows_that_repeat_are_added(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, values = np.concatenate([rng.integers(0, 9, 60), np.arange(20, 70)]), rng.normal(size=(110, 4)).astype(np.float32)
+    added, plain = [], scoring._added
+    monkeypatch.setattr(scoring, "_added", lambda v, cuts: added.append(len(v)) or plain(v, cuts))
+    at, sums, times = scoring._summed(rows, lambda order: values[order])
+    assert at.tolist() == sorted(set(rows.tolist())) and sums.dtype == np.float32
+    assert all(np.allclose(s, values[rows == k].sum(0), atol=1e-5) and n == (rows == k).sum() for k, s, n in zip(at, sums, times, strict=True))
+    assert sum(added) == times[times > 1].sum() == 60
+    assert scoring._summed(np.arange(3), lambda order: values[order])[1].tolist() == values[:3].tolist()
+
+
+def test_a_step_follows_the_gradient_by_hand(monkeypatch):
+    """Token by token in float64, with the draws of the step itself."""
+    monkeypatch.setattr(scoring, "VOCABULARY", 60)
+    names = [f"w{k}".encode() for k in range(90)]
+    words = scoring.placed(names, np.arange(100.0, 10, -1), 6000, 120)
+    rng = np.random.default_rng(8)
+    trainer = scoring.Trainer(words, scoring.first_tables(words))
+    k = rng.integers(0, 90, 50)
+    units, members, ctx = words.unit[k], words.member[k], words.row[rng.integers(0, 90, (50, scoring.CONTEXT))]
+    assert (members >= 0).any() and (members < 0).any()
+    w, begin, t = scoring.WIDTH, trainer.begin, trainer.tables.astype(float)
+    twin = np.random.default_rng()
+    twin.bit_generator.state = trainer.rng.bit_generator.state
+    drawn = twin.choice(len(trainer.p), scoring.NOISE, p=trainer.p)
+    chance = twin.random((int((members >= 0).sum()), scoring.NOISE_MEMBERS))
+    g, place = np.zeros_like(t), t[begin["c"] : begin["c"] + scoring.CONTEXT, :w]
+    inner = 0
+    for u, m, c in zip(units, members, ctx, strict=True):
+        vectors = t[begin["r"] + c, :w]
+        h = (vectors * place).sum(0)
+        picked = [(begin["q"] + u, 1, trainer.offset[u])] + [(begin["q"] + x, 0, trainer.offset[x]) for x in drawn]
+        if m >= 0:
+            of = trainer.of[m]
+            at = np.searchsorted(trainer.upto, chance[inner] * trainer.width[of] + trainer.low[of], side="right")
+            at = np.minimum(at, words.first[of + 1] - 1)
+            inner += 1
+            picked += [(begin["m"] + x, y, trainer.member_offset[x]) for x, y in [(m, 1), *((x, 0) for x in at)]]
+        g_h = np.zeros(w)
+        for row, y, offset in picked:
+            e = y - 1 / (1 + np.exp(-(h @ t[row, :w] + t[row, w] - offset)))
+            g[row] += e * np.append(h, 1)
+            g_h += e * t[row, :w]
+        g[begin["c"] : begin["c"] + scoring.CONTEXT, :w] += vectors * g_h
+        for j in range(scoring.CONTEXT):
+            g[begin["r"] + c[j], :w] += g_h * place[j]
+    trainer._batch(units, members, ctx)
+    assert np.allclose(trainer.tables, t + trainer.rate * g / np.sqrt(1e-2 + g * g), atol=1e-4)
+
+
 def test_contexts_of_all_training_documents_count(spark, monkeypatch):
     monkeypatch.setattr(scoring, "SAMPLE_TOKENS", 1)  # one document for the first values
     rng = random.Random(4)

@@ -162,12 +162,25 @@ def first_tables(words: Words, seed: int = 3) -> np.ndarray:
     return out
 
 
+def _added(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each cut to the next. Pairs of float32 are added as one complex number: half the calls."""
+    if values.dtype != np.float32 or values.shape[1] % 2:
+        return np.add.reduceat(values, cuts, axis=0)
+    return np.add.reduceat(np.ascontiguousarray(values).view(np.complex64), cuts, axis=0).view(np.float32)
+
+
 def _summed(rows: np.ndarray, values: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, the sums of their values and how often each stands there; `values` gives them in an order."""
     order = np.argsort(rows.astype(np.uint16) if rows.max() < 1 << 16 else rows, kind="stable")
-    at = rows[order]
+    at = rows.take(order)
     cuts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-    return at[cuts], np.add.reduceat(values(order), cuts, axis=0), np.diff(np.append(cuts, len(at)))
+    times = np.diff(np.append(cuts, len(at)))
+    out = values(order.take(cuts))  # most rows stand there once
+    several = np.flatnonzero(times > 1)
+    if len(several):
+        sizes = times.take(several)
+        out[several] = _added(values(order[np.repeat(times > 1, times)]), np.cumsum(sizes) - sizes)
+    return at.take(cuts), out, times
 
 
 class Trainer:
@@ -199,56 +212,79 @@ class Trainer:
         at = 0
         while at < len(order):
             rows = order[at : at + min(BATCH, FIRST_BATCH << min(self.steps // GROWS, 20))]
-            self._batch(units[rows], members[rows], ctx[rows])
+            self._batch(units.take(rows), members.take(rows), ctx.take(rows, axis=0))
             at += len(rows)
             self.steps += 1
 
     def _step(self, rows: np.ndarray, g: np.ndarray, times: np.ndarray) -> None:
-        s = self.squares[rows] + g * g
+        g = g[:, : WIDTH + 1]
+        s = g * g
+        s += self.squares.take(rows, axis=0)
         self.squares[rows] = s
-        self.tables[rows] += self.rate * g / np.sqrt(s)
+        s = np.divide(g, np.sqrt(s, out=s), out=s)
+        s *= self.rate
+        s += self.tables.take(rows, axis=0)
+        self.tables[rows] = s
         self.used[rows] += times
 
     def _batch(self, units: np.ndarray, members: np.ndarray, ctx: np.ndarray) -> None:
-        t, n, w = self.tables, len(units), WIDTH
+        """Rows are taken by `take`, several times as fast as by an index; those that are summed have an even width."""
+        t, n, w, even = self.tables, len(units), WIDTH, WIDTH + 2 - WIDTH % 2
         r0, c0, q0, m0 = (self.begin[k] for k in PARTS)
         rows = r0 + ctx
-        vectors, places = t[rows], t[c0 : c0 + CONTEXT].copy()
-        vectors[:, :, w] = 0
-        hidden = np.einsum("ijk,jk->ik", vectors[:, :, :w], places[:, :w])
+        places = np.zeros((CONTEXT, even), np.float32)
+        places[:, :w] = t[c0 : c0 + CONTEXT, :w]
+        vectors = [t.take(rows[:, j], axis=0)[:, :w] for j in range(CONTEXT)]
+        both = np.zeros((n, even), np.float32)
+        both[:, w] = 1
+        hidden = both[:, :w]
+        for v, place in zip(vectors, places, strict=True):
+            hidden += v * place[:w]
         drawn = self.rng.choice(len(self.p), NOISE, p=self.p)
-        own, noise = t[q0 + units], t[q0 + drawn]
-        good = np.einsum("ij,ij->i", hidden, own[:, :w]) + own[:, w] - self.offset[units]
-        bad = hidden @ noise[:, :w].T + (noise[:, w] - self.offset[drawn])
-        e_good = 1 / (1 + np.exp(np.clip(good, -30, 30)))  # 1 - sigma
-        e_bad = -1 / (1 + np.exp(-np.clip(bad, -30, 30)))
-        g_hidden = e_good[:, None] * own[:, :w] + e_bad @ noise[:, :w]
-        one = np.ones((n, 1), np.float32)
-        both = np.concatenate([hidden, one], 1)
+        own, noise = t.take(q0 + units, axis=0), t.take(q0 + drawn, axis=0)
+        good = np.einsum("ij,ij->i", hidden, own[:, :w]) + own[:, w] - self.offset.take(units)
+        bad = hidden @ noise[:, :w].T
+        bad += noise[:, w] - self.offset[drawn]
+        e_good = _missing(good)  # 1 - sigma
+        e_bad = -_missing(np.negative(bad, out=bad))
+        g_context = np.zeros((n, even), np.float32)
+        g_hidden = g_context[:, :w]
+        np.multiply(e_good[:, None], own[:, :w], out=g_hidden)
+        g_hidden += e_bad @ noise[:, :w]
         picked_units = np.concatenate([units, drawn])
-        g_drawn = e_bad.T @ both
-        steps = [_summed(q0 + picked_units, lambda order: np.concatenate([e_good[:, None] * both, g_drawn])[order])]
+        g_units = np.concatenate([e_good[:, None] * both, e_bad.T @ both])
+        steps = [_summed(q0 + picked_units, lambda order: g_units.take(order, axis=0))]
         inside = np.flatnonzero(members >= 0)
         if len(inside):
-            k = self.of[members[inside]]
-            at = self.low[k][:, None] + self.rng.random((len(inside), NOISE_MEMBERS)) * self.width[k][:, None]
-            other = np.minimum(np.searchsorted(self.upto, at, side="right"), (self.words.first[k + 1] - 1)[:, None])
-            picked = np.concatenate([members[inside][:, None], other], 1)
-            target = t[m0 + picked]
-            h = hidden[inside]
-            score = np.einsum("ikj,ij->ik", target[:, :, :w], h) + target[:, :, w] - self.member_offset[picked]
-            e = -1 / (1 + np.exp(-np.clip(score, -30, 30)))
+            true = members.take(inside)
+            k = self.of.take(true)
+            at = self.rng.random((len(inside), NOISE_MEMBERS)) * self.width.take(k)[:, None]
+            at += self.low.take(k)[:, None]
+            other = np.minimum(np.searchsorted(self.upto, at, side="right"), (self.words.first.take(k + 1) - 1)[:, None])
+            picked = np.concatenate([true[:, None], other], 1)
+            target = t.take(m0 + picked, axis=0)
+            wide, per = both.take(inside, axis=0), picked.shape[1]
+            score = np.einsum("ikj,ij->ik", target[:, :, :w], wide[:, :w]) + target[:, :, w] - self.member_offset.take(picked)
+            e = -_missing(-score)
             e[:, 0] += 1
             g_hidden[inside] += np.einsum("ik,ikj->ij", e, target[:, :, :w])
-            wide, flat, per = both[inside], e.ravel(), picked.shape[1]
-            steps.append(_summed(m0 + picked.ravel(), lambda order: flat[order][:, None] * wide[order // per]))
-        g_hidden = np.concatenate([g_hidden, np.zeros((n, 1), np.float32)], 1)
-        self._step(np.arange(c0, c0 + CONTEXT), np.einsum("ijk,ik->jk", vectors, g_hidden), np.full(CONTEXT, n))
-        steps.append(_summed(rows.ravel(), lambda order: g_hidden[order // CONTEXT] * places[order % CONTEXT]))
+            flat = e.ravel()
+            steps.append(_summed(m0 + picked.ravel(), lambda order: flat.take(order)[:, None] * wide.take(order // per, axis=0)))
+        g_places = np.zeros((CONTEXT, w + 1), np.float32)
+        g_places[:, :w] = [np.einsum("ik,ik->k", v, g_hidden) for v in vectors]
+        self._step(np.arange(c0, c0 + CONTEXT), g_places, np.full(CONTEXT, n))
+        steps.append(_summed(rows.ravel(), lambda order: g_context.take(order // CONTEXT, axis=0) * places.take(order % CONTEXT, axis=0)))
         for step in steps:
             self._step(*step)
 
 
+def _missing(scores: np.ndarray) -> np.ndarray:
+    """1 - sigma of the scores, in their own array."""
+    np.exp(np.clip(scores, -30, 30, out=scores), out=scores)
+    scores += 1
+    return np.divide(1, scores, out=scores)
+
+
 class Coded:
     """Texts as units, members and context rows of their tokens."""
 
@@ -264,7 +300,7 @@ class Coded:
     def trained(self, trainer: Trainer, docs: list[np.ndarray]) -> None:
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         k = np.concatenate(docs)
-        trainer.run(self.unit[k], self.member[k], contexts(self.row[k], np.repeat(np.cumsum(sizes) - sizes, sizes), self.first))
+        trainer.run(self.unit.take(k), self.member.take(k), contexts(self.row.take(k), np.repeat(np.cumsum(sizes) - sizes, sizes), self.first))
 
 
 def train_on_all(training: DataFrame, names: list[bytes], words: Words, tables: np.ndarray) -> np.ndarray:
@@ -351,13 +387,14 @@ class Softmax:
         self.table = np.ascontiguousarray(np.concatenate([target, bias[:, None]], 1).T)
         self.length = float(np.sqrt((target**2).sum(1)).max())
         self.top = float(bias.max())
+        self.ones = np.ones(len(bias), np.float32)
 
     def logs(self, hidden: np.ndarray, at: np.ndarray) -> np.ndarray:
         """hidden has a last column of ones."""
         scores = hidden @ self.table
-        got = scores[np.arange(len(at)), at].astype(np.float64)
-        if np.sqrt((hidden**2).sum(1).max()) * self.length + self.top < 60:  # no score is too large for its exponential
-            sums = np.exp(scores, out=scores).sum(1)
+        got = scores.ravel().take(np.arange(0, scores.size, scores.shape[1]) + at).astype(np.float64)
+        if np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max()) * self.length + self.top < 60:  # no score is too large for its exponential
+            sums = np.exp(scores, out=scores) @ self.ones
             if sums.min() > 1e-20:
                 return got - np.log(sums)
             scores = hidden @ self.table
@@ -381,12 +418,12 @@ class Scorer:
         """log10 probabilities of words after their contexts, by batched matrix products over units and over the members of
         each class; for words that are not frequent, those of each of them but for its count."""
         m, coded = self.model, self.coded
-        units, members = coded.unit[numbers], coded.member[numbers]
+        units, members = coded.unit.take(numbers), coded.member.take(numbers)
         out = np.empty(len(units))
         hidden = np.ones((len(units), WIDTH + 1), np.float32)
         for a in range(0, len(units), block):
             h = ctx[a : a + block]
-            hidden[a : a + block, :WIDTH] = sum(m.context[j][h[:, j]] for j in range(CONTEXT))
+            hidden[a : a + block, :WIDTH] = sum(m.context[j].take(h[:, j], axis=0) for j in range(CONTEXT))
             out[a : a + block] = self.units.logs(hidden[a : a + block], units[a : a + block])
         inside = np.flatnonzero(members >= 0)
         inside = inside[np.argsort(units[inside], kind="stable")]
@@ -394,7 +431,7 @@ class Scorer:
             k = int(units[rows[0]]) - 1 - OWN_UNITS
             for a in range(0, len(rows), block):
                 some = rows[a : a + block]
-                out[some] += self.classes[k].logs(hidden[some], members[some] - m.words.first[k])
+                out[some] += self.classes[k].logs(hidden.take(some, axis=0), members.take(some) - m.words.first[k])
         return out / np.log(10) + self.share[numbers]
 
     def score(self, docs: list[list[bytes]]) -> tuple:
